@@ -1,10 +1,12 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from . import decontaminate, mixing, simhash
+from . import decontaminate, mixing, private, quality, simhash
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op4_decontamination": decontaminate.op4_decontamination,
+    "op8_private": private.op8_private,
+    "op9_quality": quality.op9_quality,
     "op10_simhash": simhash.op10_simhash,
 }
 SQL = {"op2_mixing": mixing.SQL, "op4_decontamination": decontaminate.SQL}
