@@ -1,12 +1,14 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from . import decontaminate, mixing, private, quality, simhash
+from . import decontaminate, mixing, private, quality, secrets, simhash, tokens
 
 QUERIES = {
+    "op1_tokens": tokens.op1_tokens,
     "op2_mixing": mixing.op2_mixing,
+    "op3_secrets": secrets.op3_secrets,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op8_private": private.op8_private,
     "op9_quality": quality.op9_quality,
     "op10_simhash": simhash.op10_simhash,
 }
-SQL = {"op2_mixing": mixing.SQL, "op4_decontamination": decontaminate.SQL}
+SQL = {"op2_mixing": mixing.SQL, "op3_secrets": secrets.SQL, "op4_decontamination": decontaminate.SQL}
