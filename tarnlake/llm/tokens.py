@@ -18,33 +18,38 @@ from __future__ import annotations
 
 import json
 import re
-import uuid
-from collections import Counter
+from collections import Counter, defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, stored, table
 
-BLOCK_BYTES, LIMIT = 16 << 20, 2048
+BLOCK_BYTES, LIMIT = 32 << 20, 2048
 #: Marks a pre-token that is text for the whole library, not a piece for its model.
 _WHOLE = "\x00"
 _SPACED = re.compile(r"[^ \t\n\r]+")
+#: Counts that a task gathers before it hands them on by block.
+_GATHERED = 1 << 20
 
-_BLOCK = pa.schema(
-    [
-        ("block", pa.string()),
-        ("doc_ids", pa.list_(pa.int64())),
-        ("bytes", pa.list_(pa.int64())),
-        ("sizes", pa.list_(pa.int32())),
-        ("numbers", pa.list_(pa.int32())),
-        ("times", pa.list_(pa.int32())),
-        ("pieces", pa.list_(pa.string())),
-    ]
-)
-_BLOCK_DDL = "block string, doc_ids array<long>, bytes array<long>, sizes array<int>, numbers array<int>, times array<int>, pieces array<string>"
+_BLOCK = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("bytes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("n", pa.int64()), ("numbers", pa.binary()), ("times", pa.binary()), ("pieces", pa.list_(pa.string()))])
+_BLOCK_DDL = "block long, doc_ids array<long>, bytes array<long>, sizes array<int>, n long, numbers binary, times binary, pieces array<string>"
+_COUNTS = pa.schema([("block", pa.int64()), ("numbers", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """32-bit integers by byte plane, compressed: small ones take little."""
+    return pa.compress(values.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<i4").ravel()
 
 
 class PreTokens:
@@ -68,6 +73,20 @@ class PreTokens:
             return [_WHOLE + text]
         return [x for x, _ in t.pre_tokenizer.pre_tokenize_str(normal)] if t.pre_tokenizer else [normal] * bool(normal)
 
+    def split_all(self, chunks: list[str]) -> list[list[str]]:
+        """:meth:`split` of each; where white space is dropped, in one go over all that hold none themselves."""
+        joined = " ".join(chunks)
+        if not self.drops_space or any(x in joined for x in self.special) or joined.split() != chunks:
+            return [self.split(x) for x in chunks]
+        normal = self.tokenizer.normalizer.normalize_str(joined) if self.tokenizer.normalizer else joined
+        gaps = np.flatnonzero(np.frombuffer(normal.encode("utf-32-le"), np.uint32) == 32)
+        if len(gaps) != len(chunks) - 1 or any(x in normal for x in self.special):
+            return [self.split(x) for x in chunks]
+        pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)
+        cut = np.searchsorted([at for _, (at, _) in pieces], np.concatenate(([0], gaps, [len(normal)])))
+        names = [x for x, _ in pieces]
+        return [names[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
     def chunks(self, text: str) -> list[str]:
         return _SPACED.findall(text) if self.drops_space else [text]
 
@@ -78,11 +97,10 @@ class PreTokens:
 
 
 class _Block:
-    def __init__(self, cut: PreTokens):
-        self.cut, self.size, self.ids, self.bytes, self.docs = cut, 0, [], [], []
-        self.chunk_numbers: dict[str, int] = {}
-        self.piece_numbers: dict[str, int] = {}
-        self.of_chunk: list[list[int]] = []
+    def __init__(self, cut: PreTokens, number: int):
+        self.cut, self.number, self.size, self.ids, self.bytes, self.docs = cut, number, 0, [], [], []
+        self.chunks: defaultdict[str, int] = defaultdict()
+        self.chunks.default_factory = self.chunks.__len__
 
     def add(self, ident, text: str | None) -> None:
         text = text or ""
@@ -90,35 +108,45 @@ class _Block:
         self.ids.append(ident)
         self.bytes.append(n)
         self.size += n
-        known, total = self.chunk_numbers, Counter(self.cut.chunks(text))
-        own: dict[int, int] = {}
-        for chunk, times in total.items():
-            k = known.get(chunk)
-            if k is None:
-                k = known[chunk] = len(self.of_chunk)
-                self.of_chunk.append([self.piece_numbers.setdefault(p, len(self.piece_numbers)) for p in self.cut.split(chunk)])
-            for p in self.of_chunk[k]:
-                own[p] = own.get(p, 0) + times
-        numbers = np.fromiter(own.keys(), np.int32, len(own))
-        order = np.argsort(numbers)
-        self.docs.append((numbers[order], np.fromiter(own.values(), np.int32, len(own))[order]))
+        total = Counter(self.cut.chunks(text))
+        self.docs.append((np.fromiter(map(self.chunks.__getitem__, total), np.int64, len(total)), np.fromiter(total.values(), np.int64, len(total))))
 
     def row(self) -> pa.RecordBatch:
-        numbers = np.concatenate([np.zeros(0, np.int32), *[x[0] for x in self.docs]])
-        times = np.concatenate([np.zeros(0, np.int32), *[x[1] for x in self.docs]])
-        row = [uuid.uuid4().hex, self.ids, self.bytes, [len(x[0]) for x in self.docs], numbers, times, list(self.piece_numbers)]
+        chunks, pieces = list(self.chunks), defaultdict()
+        pieces.default_factory = pieces.__len__
+        lists = []
+        for k in range(0, len(chunks), 20_000):
+            lists += self.cut.split_all(chunks[k : k + 20_000])
+        count = np.array([len(x) for x in lists], np.int64)
+        of_chunk = np.fromiter(map(pieces.__getitem__, chain.from_iterable(lists)), np.int64, int(count.sum()))
+        begin = np.cumsum(count) - count
+        # each document's chunks become their pieces; those that fall together are summed
+        none = np.zeros(0, np.int64)
+        ids, times = np.concatenate([none, *[x for x, _ in self.docs]]), np.concatenate([none, *[x for _, x in self.docs]])
+        owner = np.repeat(np.arange(len(self.docs)), [len(x) for x, _ in self.docs])
+        n = count[ids]
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[ids], n)
+        key = np.repeat(owner, n) * max(len(pieces), 1) + of_chunk[at]
+        key, back = np.unique(key, return_inverse=True)
+        times = np.bincount(back, weights=np.repeat(times, n), minlength=len(key)).astype(np.int64)
+        owner, numbers = key // max(len(pieces), 1), key % max(len(pieces), 1)
+        sizes = np.bincount(owner, minlength=len(self.docs))
+        deltas = np.diff(numbers, prepend=0)
+        row = [self.number, self.ids, self.bytes, sizes.tolist(), len(key), _packed(deltas), _packed(times), list(pieces)]
         return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(row, _BLOCK)], schema=_BLOCK)
 
 
 def _blocks(spec, block_bytes: int):
     def run(batches):
         cut = PreTokens(spec.value)
-        block = _Block(cut)
+        number = TaskContext.get().partitionId() << 32
+        block = _Block(cut, number)
         for batch in batches:
             for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if block.docs and block.size + len(text or "") > block_bytes:
                     yield block.row()
-                    block = _Block(cut)
+                    number += 1
+                    block = _Block(cut, number)
                 block.add(ident, text)
         if block.docs:
             yield block.row()
@@ -127,11 +155,34 @@ def _blocks(spec, block_bytes: int):
 
 
 def _counted(spec):
+    """Sorted by pre-token: each is counted once, and the counts go on by block."""
+
+    def handed(held):
+        blocks, numbers, n = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(blocks, kind="stable")
+        blocks, numbers, n = blocks[order], numbers[order], n[order]
+        cut = np.concatenate(([0], np.flatnonzero(np.diff(blocks)) + 1, [len(blocks)])).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(cut, pa.array(x, pa.int32())) for x in (numbers, n)]
+        return pa.RecordBatch.from_arrays([pa.array(blocks[cut[:-1]]), *lists], schema=_COUNTS)
+
     def run(batches):
         cut = PreTokens(spec.value)
+        held, size, last = [], 0, (None, 0)
         for batch in batches:
-            n = [cut.count(x) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32())], names=["piece", "n"])
+            if not batch.num_rows:
+                continue
+            coded = pc.dictionary_encode(batch.column("piece"))
+            names = coded.dictionary.to_pylist()
+            n = np.array([last[1] if x == last[0] else cut.count(x) for x in names], np.int32)
+            codes = coded.indices.to_numpy()
+            last = names[codes[-1]], int(n[codes[-1]])
+            held.append((batch.column("block").to_numpy(), batch.column("number").to_numpy(), n[codes]))
+            size += batch.num_rows
+            if size >= _GATHERED:
+                yield handed(held)
+                held, size = [], 0
+        if held:
+            yield handed(held)
 
     return run
 
@@ -139,16 +190,17 @@ def _counted(spec):
 def _summed(batches):
     for batch in batches:
         for r in range(batch.num_rows):
-            row = {name: batch.column(name)[r].values for name in ("doc_ids", "bytes", "sizes", "numbers", "times")}
+            ids, sizes, total = batch.column("doc_ids")[r].values, batch.column("bytes")[r].values, batch.column("n")[r].as_py()
+            each = batch.column("sizes")[r].values.to_numpy()
+            numbers = np.cumsum(_unpacked(batch.column("numbers")[r].as_py(), total))
+            times = _unpacked(batch.column("times")[r].as_py(), total)
+            n = np.zeros(int(numbers.max(initial=-1)) + 1, np.int64)
             counts = batch.column("counts")[r].values
-            n = np.zeros((counts.field("number").to_numpy().max(initial=-1) + 1) if counts is not None and len(counts) else 0, np.int64)
-            if len(n):
-                n[counts.field("number").to_numpy()] = counts.field("n").to_numpy()
-            each = n[row["numbers"].to_numpy()] * row["times"].to_numpy()
-            total = np.concatenate(([0], np.cumsum(each)))
-            ends = np.cumsum(row["sizes"].to_numpy())
-            tokens = total[ends] - total[ends - row["sizes"].to_numpy()]
-            yield pa.RecordBatch.from_arrays([row["doc_ids"], row["bytes"], pa.array(tokens, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+            for part in range(len(counts) if counts is not None else 0):
+                n[counts.field("numbers")[part].values.to_numpy()] = counts.field("n")[part].values.to_numpy()
+            upto = np.concatenate(([0], np.cumsum(n[numbers] * times)))
+            ends = np.cumsum(each)
+            yield pa.RecordBatch.from_arrays([ids, sizes, pa.array(upto[ends] - upto[ends - each], pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col="doc_id", text_col="text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -160,9 +212,10 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col="doc_id", text_col
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     blocks = stored(rows.mapInArrow(_blocks(spec, block_bytes), _BLOCK_DDL), "tokens")
     held = blocks.select("block", F.posexplode("pieces").alias("number", "piece"))
-    pieces = blocks.select(F.explode("pieces").alias("piece")).distinct().mapInArrow(_counted(spec), "piece string, n int")
-    counts = held.join(pieces, "piece").groupBy("block").agg(F.collect_list(F.struct("number", "n")).alias("counts"))
-    # a block's row is large: Arrow batches are cut by bytes, so few go at a time
+    # a pre-token has a row for each block that holds it, not for each document
+    held = held.repartition("piece").sortWithinPartitions("piece")
+    counts = held.mapInArrow(_counted(spec), "block long, numbers array<int>, n array<int>")
+    counts = counts.groupBy("block").agg(F.collect_list(F.struct("numbers", "n")).alias("counts"))
     return blocks.drop("pieces").join(counts, "block", "left").drop("block").mapInArrow(_summed, "doc_id long, n_bytes long, n_tokens long")
 
 
