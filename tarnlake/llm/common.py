@@ -39,6 +39,15 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of Parquet up to which a stored table is broadcast.
+SMALL = 4 << 20
+
+
+def small(df: DataFrame) -> bool:
+    """Whether a stored table may be broadcast, by the size of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`stored` that nothing will read again."""
     jvm = df.sparkSession.sparkContext._jvm

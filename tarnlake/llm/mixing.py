@@ -68,6 +68,7 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     thin = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
+        F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("")).alias("name"),  # the source as a key that is never null
         word_count(F.col(text_col)).alias("size"),
         ident.alias("ident"),
         *([F.struct("*").alias("row")] if carry else []),
@@ -77,20 +78,16 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     if not carry:  # else the texts would be written once more; they are counted a second time instead
         rows = stored(rows, "mix")
     key = ["length", "lead", "part"]
-    blocks = rows.groupBy("source", *key).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    blocks = rows.groupBy("name", "source", *key).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     blocks = stored(blocks, "mix-blocks")
     goals = source_targets(blocks.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap)
-    along = Window.partitionBy("source").orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(along), F.lit(0)))
     goals = goals.withColumn("offset", _fraction(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("")))))
-    b, g = blocks.alias("b"), goals.alias("g")
-    blocks = b.join(g, F.col("b.source").eqNullSafe(F.col("g.source"))).select("b.*", "g.source_size", "g.target", "g.rate", "g.offset")
-    inside = Window.partitionBy("source", *key).orderBy("ident", "doc_id", "size")
-    r, b = rows.withColumn("place", F.row_number().over(inside)).alias("r"), blocks.alias("b")
-    same = F.col("r.source").eqNullSafe(F.col("b.source"))
-    for c in key:
-        same &= F.col(f"r.{c}") == F.col(f"b.{c}")
-    out = r.join(b, same).select("r.*", "b.source_size", "b.target", "b.rate", "b.offset", (F.col("b.before") + F.col("r.place")).alias("rank"))
+    goals = goals.withColumn("name", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).drop("source")
+    along = Window.partitionBy("name").orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(along), F.lit(0))).drop("source", "n", "words").join(goals, "name")
+    # the documents are dealt by block once, for their place in it and for what the block brings
+    inside = Window.partitionBy("name", *key).orderBy("ident", "doc_id", "size")
+    out = rows.withColumn("place", F.row_number().over(inside)).join(blocks, ["name", *key]).withColumn("rank", F.col("before") + F.col("place"))
     upto = F.floor(F.col("rank") * F.col("rate") + F.col("offset"))
     upto_last = F.floor((F.col("rank") - 1) * F.col("rate") + F.col("offset"))
     copies = F.least(upto - upto_last, F.ceil("rate")).cast("long")  # the bound only guards against rounding

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, flat, small_batches, stored, table, word_hashes, word_spans
+from .common import ALNUM, LOWER, flat, small, small_batches, stored, table, word_hashes, word_spans
 
 KINDS = ("email", "ip", "card", "phone")
 #: Share of an entity's information, different texts, words looked at on either side, and least letters of a term.
@@ -166,19 +166,23 @@ def spans(docs: DataFrame, id_col="doc_id", text_col="text", carry: bool = False
     """``doc_id, base, added`` of each document (arrays of kind, start, end); with ``carry`` also ``row``, all its columns."""
     small_batches(docs.sparkSession)
     text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.arrow_udf(_find, _DDL)(text).alias("f"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("digest"), *([F.struct("*").alias("row")] if carry else []))
-    rows = rows.select("doc_id", "digest", "f.base", "f.near", *(["row"] if carry else []))
-    rows = stored(rows, "private")
-    found = rows.where(F.size("near") > 0).groupBy("digest").agg(F.count("*").alias("copies"), F.first("near").alias("near"))
-    reveal = disclosing(found, docs.select(text))
-    terms = found.select("digest", F.explode("near").alias("x")).select("digest", "x.*").join(reveal, ["entity", "term"])
+    found = F.arrow_udf(_find, _DDL)(text)
+    digest = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    near = docs.select(digest.alias("digest"), found["near"].alias("near")).where(F.size("near") > 0)
+    near = stored(near.groupBy("digest").agg(F.count("*").alias("copies"), F.first("near").alias("near")), "private")
+    reveal = disclosing(near, docs.select(text))
+    terms = near.select("digest", F.explode("near").alias("x")).select("digest", "x.*").join(reveal, ["entity", "term"])
     span = F.struct(F.lit(len(KINDS)).alias("kind"), "start", "end")
     terms = terms.select("digest", span.alias("span")).groupBy("digest").agg(F.array_sort(F.collect_set("span")).alias("added"))
-    # a text may be that of a third of all rows: what is added to it is written for each of 16 parts
-    terms = terms.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(PARTS)).cast("int"))
+    terms = stored(terms, "disclosing")
+    rows = docs.select(F.col(id_col).alias("doc_id"), found["base"].alias("base"), digest.alias("digest"), *([F.struct("*").alias("row")] if carry else []))
+    if small(terms):
+        rows = rows.join(F.broadcast(terms), "digest", "left")
+    else:  # a text may be that of a third of all rows: what is added to it is written for each of 16 parts
+        terms = terms.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")).join(terms, ["digest", "part"], "left")
     none = F.array().cast("array<struct<kind: int, start: int, end: int>>")
-    return rows.join(terms, ["digest", "part"], "left").select("doc_id", "base", F.coalesce("added", none).alias("added"), *(["row"] if carry else []))
+    return rows.select("doc_id", "base", F.coalesce("added", none).alias("added"), *(["row"] if carry else []))
 
 
 def written(found: Column, kinds=(*KINDS, "term")) -> Column:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, flat, small_batches, stored, table, window_hashes, word_hashes, word_spans
+from .common import LOWER, NOT_SPACE, flat, small_batches, table, window_hashes, word_hashes, word_spans
 
 SAMPLE, PAIRS, CUT, RIDGE, SEED = 20_000, 60_000, 0.7, 1e-3, 11
 
@@ -127,11 +127,16 @@ class Model:
         return 1 / (1 + F.exp(-F.least(F.greatest(raw, F.lit(-35.0)), F.lit(35.0))))
 
 
-def fitted(featured: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """The model from ``doc_id, x`` and the labels; ``sample`` rows at most come to the driver."""
+def _x(text: Column) -> Column:
+    return F.arrow_udf(_features, "array<double>")(text)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", sample: int = SAMPLE) -> Model:
+    """The model; ``sample`` labels at most are broadcast, and as many rows at most come to the driver."""
     known = labels.select(F.col("doc_id"), F.col(label_col).alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id", "label").limit(sample)
-    rows = featured.join(known, "doc_id").select("label", "x", "doc_id")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id")
+    rows = rows.select("doc_id", "label", _x(F.col("text")).alias("x"))
     rows = rows.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id", "label", "x").limit(sample).collect()
     x = np.array([r.x for r in rows], float).reshape(-1, _N_FEATURES)
     return Model(x, np.array([r.label == 1 for r in rows], bool))
@@ -140,11 +145,9 @@ def fitted(featured: DataFrame, labels: DataFrame, label_col: str = "quality", s
 def scored(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", carry: bool = False) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of each document; with ``carry`` also ``row``, all its columns."""
     small_batches(docs.sparkSession)
-    x = F.arrow_udf(_features, "array<double>")(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("doc_id"), x.alias("x"), *([F.struct("*").alias("row")] if carry else []))
-    featured = stored(rows, "quality")
-    score = fitted(featured, labels).score(F.col("x"))
-    out = featured.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), *(["row"] if carry else []))
+    model = fitted(docs, labels, id_col, text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), _x(F.col(text_col)).alias("x"), *([F.struct("*").alias("row")] if carry else []))
+    out = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score(F.col("x")).alias("score"), *(["row"] if carry else []))
     return out.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 

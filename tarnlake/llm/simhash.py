@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, NOT_SPACE, dropped, flat, small_batches, stored, table, word_spans
 
-SHINGLE, SEED, DISTANCE = 3, 42, 3
+SHINGLE, SEED, DISTANCE, PARTS = 3, 42, 3, 16
 _SLICE = 1 << 16  # hashes whose bits are counted at once
 
 
@@ -196,11 +196,11 @@ def components(links: DataFrame) -> DataFrame:
         edges, before = after, state
 
 
-def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", carry: bool = False) -> DataFrame:
-    """``doc_id, fp, root, component_id`` of each document (root: a fingerprint that names the component); with ``carry`` also ``row``, all its columns."""
+def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+    """``doc_id, fp, digest`` (of the text), ``root`` (a fingerprint that names the component) and ``component_id`` of each document."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col)).alias("fp"), *([F.struct("*").alias("row")] if carry else []))
-    rows = stored(rows, "simhash")
+    text = F.col(text_col)
+    rows = stored(docs.select(F.col(id_col).alias("doc_id"), fingerprint(text).alias("fp"), _digest(text).alias("digest")), "simhash")
     prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
     roots = components(near(prints.select("fp")))
     # fingerprint -> root -> smallest id; everything from here on has one row a distinct fingerprint
@@ -208,17 +208,25 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", carry: bo
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "root", "component_id")
     # a fingerprint may be that of a third of all rows: its name is written for each of 16 parts
-    parts = F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int")
-    named = named.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    return rows.withColumn("part", parts).join(named, ["fp", "part"]).drop("part")
+    named = named.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")
+    return rows.withColumn("part", part).join(named, ["fp", "part"]).drop("part")
+
+
+def _digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
 def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """One document of each component: that with the smallest id, and among rows of that id the first by text."""
-    marked = near_duplicates(docs, id_col, text_col, carry=True)
-    first = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    one = F.struct(F.col(f"row.{text_col}").alias("text"), F.col("row"))
-    return first.groupBy("root").agg(F.min(one).alias("one")).select("one.row.*")
+    """One document of each component: that with the smallest id; among rows of that id, the first by digest, then by all columns.
+
+    The choice is made on thin rows; the texts are shuffled once, to meet it by id and digest.
+    """
+    marked = near_duplicates(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    key = lambda ident, digest: F.concat(F.coalesce(ident.cast("string"), F.lit("")), F.lit(":"), digest)
+    chosen = marked.groupBy("root").agg(F.min(key(F.col("doc_id"), F.col("digest"))).alias("key")).select("key").distinct()
+    rows = docs.select(key(F.col(id_col), _digest(F.col(text_col))).alias("key"), F.struct("*").alias("row"))
+    return rows.join(chosen, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row")).select("row.*")
 
 
 def op10_simhash(spark, sf_dir):

@@ -36,6 +36,8 @@ _WHOLE = "\x00"
 _SPACED = re.compile(r"[^ \t\n\r]+")
 #: Counts that a task gathers before it hands them on by block.
 _GATHERED = 1 << 20
+#: Documents of a block whose frequencies are merged at once.
+_MERGED = 256
 
 _BLOCK = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("bytes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("n", pa.int64()), ("numbers", pa.binary()), ("times", pa.binary()), ("pieces", pa.list_(pa.string()))])
 _BLOCK_DDL = "block long, doc_ids array<long>, bytes array<long>, sizes array<int>, n long, numbers binary, times binary, pieces array<string>"
@@ -109,7 +111,7 @@ class _Block:
         self.bytes.append(n)
         self.size += n
         total = Counter(self.cut.chunks(text))
-        self.docs.append((np.fromiter(map(self.chunks.__getitem__, total), np.int64, len(total)), np.fromiter(total.values(), np.int64, len(total))))
+        self.docs.append((np.fromiter(map(self.chunks.__getitem__, total), np.int32, len(total)), np.fromiter(total.values(), np.int32, len(total))))
 
     def row(self) -> pa.RecordBatch:
         chunks, pieces = list(self.chunks), defaultdict()
@@ -120,19 +122,23 @@ class _Block:
         count = np.array([len(x) for x in lists], np.int64)
         of_chunk = np.fromiter(map(pieces.__getitem__, chain.from_iterable(lists)), np.int64, int(count.sum()))
         begin = np.cumsum(count) - count
-        # each document's chunks become their pieces; those that fall together are summed
-        none = np.zeros(0, np.int64)
-        ids, times = np.concatenate([none, *[x for x, _ in self.docs]]), np.concatenate([none, *[x for _, x in self.docs]])
-        owner = np.repeat(np.arange(len(self.docs)), [len(x) for x, _ in self.docs])
-        n = count[ids]
-        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[ids], n)
-        key = np.repeat(owner, n) * max(len(pieces), 1) + of_chunk[at]
-        key, back = np.unique(key, return_inverse=True)
-        times = np.bincount(back, weights=np.repeat(times, n), minlength=len(key)).astype(np.int64)
-        owner, numbers = key // max(len(pieces), 1), key % max(len(pieces), 1)
-        sizes = np.bincount(owner, minlength=len(self.docs))
-        deltas = np.diff(numbers, prepend=0)
-        row = [self.number, self.ids, self.bytes, sizes.tolist(), len(key), _packed(deltas), _packed(times), list(pieces)]
+        numbers, times, sizes, last = [], [], [], 0
+        for k in range(0, len(self.docs), _MERGED):  # each document's chunks become their pieces; those that fall together are summed
+            docs = self.docs[k : k + _MERGED]
+            ids, n_times = np.concatenate([x for x, _ in docs]), np.concatenate([x for _, x in docs])
+            owner = np.repeat(np.arange(len(docs)), [len(x) for x, _ in docs])
+            n = count[ids]
+            at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[ids], n)
+            key, back = np.unique(np.repeat(owner, n) * max(len(pieces), 1) + of_chunk[at], return_inverse=True)
+            owner, number = np.divmod(key, max(len(pieces), 1))
+            numbers.append(np.diff(number, prepend=0).astype(np.int32))
+            if len(number):  # the first is told from the last of the slice before
+                numbers[-1][0] -= last
+                last = int(number[-1])
+            times.append(np.bincount(back, weights=np.repeat(n_times, n), minlength=len(key)).astype(np.int32))
+            sizes += np.bincount(owner, minlength=len(docs)).tolist()
+        deltas, times = np.concatenate(numbers), np.concatenate(times)
+        row = [self.number, self.ids, self.bytes, sizes, len(deltas), _packed(deltas), _packed(times), list(pieces)]
         return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(row, _BLOCK)], schema=_BLOCK)
 
 
