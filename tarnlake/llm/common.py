@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes and rows of one Arrow batch handed to a Python worker; a single longer text still comes whole.
-BATCH_BYTES, BATCH_ROWS = 8 << 20, 1000
+BATCH_BYTES, BATCH_ROWS = 2 << 20, 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

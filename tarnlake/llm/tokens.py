@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, stored, table
 
-BLOCK_BYTES, LIMIT = 32 << 20, 2048
+BLOCK_BYTES, LIMIT = 24 << 20, 2048
 #: Marks a pre-token that is text for the whole library, not a piece for its model.
 _WHOLE = "\x00"
 _SPACED = re.compile(r"[^ \t\n\r]+")
