@@ -82,9 +82,9 @@ class _Scan:
             np.minimum(self.least, low[-1], out=self.least)
             return
         before = before[at]
-        symbols = self.text[before].astype(np.int64)
-        order = np.argsort(symbols, kind="stable")
-        symbols, at, before = symbols[order], at[order], before[order]
+        symbols = self.text[before]
+        order = np.argsort(symbols, kind="stable")  # a radix sort for bytes
+        symbols, at, before = symbols[order].astype(np.int64), at[order], before[order]
         first = np.ones(len(at), bool)
         first[1:] = symbols[1:] != symbols[:-1]
         value = np.empty(len(at), np.int32)

@@ -3,7 +3,8 @@
 The corpus is dealt into shards such that equal strings always meet. Of each 200-byte window the 32-byte
 string with the least hash is its anchor (the leftmost of equals): equal windows have equal anchors, and
 the windows of one anchor are a stretch of text, the piece. Pieces go by their anchor's hash. A piece whose
-anchor is nowhere else repeats nothing; pieces alike in every byte are sorted once and repeat in full. The
+anchor is nowhere else repeats nothing; pieces alike in every byte are sorted once and repeat in full (and
+are not sorted where their anchor has no other piece). The
 distinct pieces of each shared anchor are the shard's text: its suffixes are sorted by external induced
 sorting with common prefixes (``induced``), and a window with a common prefix of 200 or more with a
 neighbour is repeated. A shard holds whole anchors; its queues go to disk when they outgrow memory.
@@ -92,27 +93,25 @@ def _shared(batches):
     """
     names = ["anchor", "key", "first", "last", "wanted"]
     held = None  # the last row so far, of which it isn't known yet whether the next is like it
-    before = None  # anchor and piece of the row before that
+    before = None  # anchor and piece of the row before that, and whether that piece is its anchor's first
     for batch in batches:
         if not batch.num_rows:
             continue
         cols = {x: batch.column(x).to_numpy() for x in ("anchor", "piece", "key", "first", "last")}
         if held is not None:
             cols = {x: np.concatenate((held[x], v)) for x, v in cols.items()}
-        yield from _judged(cols, before, None, names)
-        if len(cols["anchor"]) > 1:
-            before = cols["anchor"][-2], cols["piece"][-2]
+        before = yield from _judged(cols, before, None, names)
         held = {x: v[-1:] for x, v in cols.items()}
     if held is not None:
         yield from _judged({x: np.append(v, v) for x, v in held.items()}, before, "end", names)
 
 
 def _judged(cols, before, end, names):
-    """All rows but the last, each by its neighbours."""
+    """All rows but the last, each by its neighbours; returns the new ``before``."""
     anchor, piece = cols["anchor"], cols["piece"]
     n = len(anchor) - 1
     if n < 1:
-        return
+        return before
     next_anchor = (anchor[1:] == anchor[:-1]) & (end is None)
     next_piece = next_anchor & (piece[1:] == piece[:-1])
     last_anchor, last_piece = np.zeros(n, bool), np.zeros(n, bool)
@@ -121,12 +120,16 @@ def _judged(cols, before, end, names):
         last_anchor[0] = anchor[0] == before[0]
         last_piece[0] = last_anchor[0] and piece[0] == before[1]
     copied = next_piece | last_piece
-    # The first of a piece stands for it, if its anchor is shared at all.
-    stands = ~last_piece & (next_anchor | last_anchor)
+    # Whether a row's piece is the first of its anchor, told where the piece begins.
+    begin = np.maximum.accumulate(np.where(last_piece, -1, np.arange(n)))
+    leads = np.where(begin >= 0, ~last_anchor[np.maximum(begin, 0)], before is not None and before[2])
+    # The last of a piece stands for it, unless its anchor has no other piece.
+    stands = ~next_piece & ~(leads & ~next_anchor)
     for flags, wanted in ((copied, False), (stands, True)):
         at = np.flatnonzero(flags)
         if len(at):
             yield pa.RecordBatch.from_arrays([*(pa.array(cols[x][at]) for x in names[:4]), pa.array(np.full(len(at), wanted))], names=names)
+    return anchor[n - 1], piece[n - 1], bool(leads[n - 1])
 
 
 def _cut_out(batches):
