@@ -1,12 +1,13 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from . import decontaminate, mixing, private, quality, secrets, simhash, suffixes, tokens
+from . import decontaminate, mixing, neighbours, private, quality, secrets, simhash, suffixes, tokens
 
 QUERIES = {
     "op1_tokens": tokens.op1_tokens,
     "op2_mixing": mixing.op2_mixing,
     "op3_secrets": secrets.op3_secrets,
     "op4_decontamination": decontaminate.op4_decontamination,
+    "op5_neighbours": neighbours.op5_neighbours,
     "op7_suffixes": suffixes.op7_suffixes,
     "op8_private": private.op8_private,
     "op9_quality": quality.op9_quality,
