@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, stored, table
 
-NEAREST, SAMPLE, CALIBRATION, RECALL, PARTS = 20, 20_000, 128, 0.98, 16
+NEAREST, SAMPLE, CALIBRATION, RECALL, PARTS = 20, 20_000, 256, 0.95, 16
 #: Vectors of a leaf as the sample has it, leaves at most, children of a node, and vectors searched in one part.
-LEAF, LEAVES, FANOUT, PART = 200, 4096, 8, 8192
+LEAF, LEAVES, FANOUT, PART = 1000, 4096, 8, 8192
 
 
 class Tree:
