@@ -45,5 +45,8 @@ def money(c: Column) -> Column:
 
 
 def ratio(a: Column, b: Column) -> Column:
-    """Rounded to two places; 0 where the divisor is 0 or null."""
-    return F.round(F.when(b > 0, a.cast("double") / b.cast("double")).otherwise(F.lit(0.0)), 2)
+    """Money over a count, to the nearest cent, halves up, by whole numbers; 0 where the divisor is 0 or null."""
+    count = F.when(b > 0, b.cast("bigint"))
+    doubled = 2 * (a * 100).cast("bigint") + count
+    cents = (doubled - F.pmod(doubled, 2 * count)) / (2 * count)
+    return F.coalesce(cents.cast("double") / 100, F.lit(0.0))

@@ -20,7 +20,9 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 def clean(name, spark, d):
-    return plain(cleaning.CLEAN[name](relation(spark, d, name)))
+    out = cleaning.CLEAN[name](relation(spark, d, name))
+    parts = [c for c in ("order_year", "order_month", "order_quarter") if c in out.columns]  # may be null: as text
+    return plain(out.withColumns({c: F.col(c).cast("string") for c in parts}) if parts else out)
 
 
 def _raw(spark, d):
