@@ -18,9 +18,11 @@ other, and both lose all their windows. Empty table: no rows. Other columns are
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,17 +75,39 @@ def pieces(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np
 
 
 def _occurrences(batches):
+    """The occurrences of pieces. Within a batch a piece's first occurrence stands for the others.
+
+    What repeats within a batch is known to: such windows leave as ``local`` runs that no other row has to
+    judge, dealt by a mix of text and place. So a string that fills a third of the corpus comes to the task of
+    its anchor about once a batch.
+    """
+    none = np.zeros(0, np.int64)
     for batch in batches:
-        out = [[], [], [], [], []]
         data, offsets = flat(batch.column(1))
-        for key, a, b in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
-            anchor, piece, first, last = pieces(data[a:b])
-            for x, y in zip(out, (anchor.view(np.int64), piece.view(np.int64), np.full(len(anchor), key, np.int64), first, last)):
-                x.append(y)
-        names = ["anchor", "piece", "key", "first", "last"]
-        kinds = [pa.int64()] * 3 + [pa.int32()] * 2
-        none = np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *x]), t) for x, t in zip(out, kinds)], names=names)
+        names = batch.column(0).to_pylist()
+        copies, parts = Counter(names), [[none.astype(np.uint64)], [none.astype(np.uint64)], [none], [none], [none], [none]]
+        for k, (name, a, b) in enumerate(zip(names, offsets[:-1].tolist(), offsets[1:].tolist())):
+            if n := copies.pop(name, 0):
+                found = pieces(data[a:b])
+                for x, y in zip(parts, (*found, np.full(len(found[0]), k), np.full(len(found[0]), n))):
+                    x.append(y)
+        anchor, piece, first, last, row, n = (np.concatenate(x) for x in parts)
+        keys = np.array(names, np.int64)[row]
+        order = np.lexsort((piece, anchor))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(anchor[order]) != 0) | (np.diff(piece[order]) != 0)
+        group = np.cumsum(new) - 1
+        copied = n > 1
+        copied[order] |= np.bincount(group, minlength=1)[group] > 1
+        one = np.sort(order[new])
+        starts = copied.copy()
+        starts[1:] &= ~copied[:-1] | (row[1:] != row[:-1])
+        ends = copied.copy()
+        ends[:-1] &= ~copied[1:] | (row[1:] != row[:-1])
+        deal = mixed(keys[starts].view(np.uint64) + first[starts].astype(np.uint64))
+        columns = [np.concatenate((anchor[one], deal)).view(np.int64), np.concatenate((piece[one].view(np.int64), first[starts])), np.concatenate((keys[one], keys[starts])), np.concatenate((first[one], first[starts])), np.concatenate((last[one], last[ends]))]
+        arrays = [pa.array(x, t) for x, t in zip(columns, [pa.int64()] * 3 + [pa.int32()] * 2)]
+        yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.arange(len(columns[0])) >= len(one))], names=["anchor", "piece", "key", "first", "last", "local"])
 
 
 def _shared(batches):
@@ -95,6 +119,11 @@ def _shared(batches):
     held = None  # the last row so far, of which it isn't known yet whether the next is like it
     before = None  # anchor and piece of the row before that, and whether that piece is its anchor's first
     for batch in batches:
+        local = batch.column("local")
+        if runs := pc.sum(local).as_py():
+            done = batch.filter(local)
+            yield pa.RecordBatch.from_arrays([*(done.column(x) for x in names[:4]), pa.array(np.zeros(runs, bool))], names=names)
+        batch = batch.filter(pc.invert(local))
         if not batch.num_rows:
             continue
         cols = {x: batch.column(x).to_numpy() for x in ("anchor", "piece", "key", "first", "last")}
@@ -187,7 +216,7 @@ def removed(docs: DataFrame, text_col="text") -> DataFrame:
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(_key(text).alias("key"), text.alias("text"))
-    found = keyed.where(F.octet_length("text") >= LENGTH).mapInArrow(_occurrences, "anchor long, piece long, key long, first int, last int")
+    found = keyed.where(F.octet_length("text") >= LENGTH).mapInArrow(_occurrences, "anchor long, piece long, key long, first int, last int, local boolean")
     found = found.repartition("anchor").sortWithinPartitions("anchor", "piece")
     shared = stored(found.mapInArrow(_shared, "anchor long, key long, first int, last int, wanted boolean"), "shared")
     texts = keyed.groupBy("key").agg(F.first("text").alias("text"))
