@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from ..operators.changes import KINDS
 
 
 def _sum(c: str, name: str):
@@ -44,7 +45,7 @@ def executive(sales: DataFrame, payments: DataFrame) -> DataFrame:
 def monthly_breakdown(sales: DataFrame, products: DataFrame, customers: DataFrame) -> DataFrame:
     """By month, category, the customer's segment at the sale, and order status."""
     rows = sales.join(products.select("product_sk", "category"), "product_sk", "left").join(customers.select("customer_sk", "customer_segment"), "customer_sk", "left")
-    return rows.groupBy(F.trunc("order_day", "month").alias("month"), "category", "customer_segment", "order_status").agg(_sum("net_amount", "net_revenue"), _sum("discount_amount", "discount"), F.count("*").alias("items"), F.countDistinct("order_sk").alias("orders"))
+    return rows.groupBy(F.trunc("order_day", "month").alias("month"), "category", "customer_segment", "order_status").agg(_sum("net_amount", "net_revenue"), _sum("discount_amount", "discount"), F.sum("quantity").alias("items"), F.countDistinct("order_sk").alias("orders"))
 
 
 def top(mart: DataFrame, key: str, value: str, n: int = 10) -> DataFrame:
@@ -67,3 +68,64 @@ def layer_counts(layers: dict[str, DataFrame]) -> DataFrame:
         one = df.agg(F.lit(name).alias("layer"), F.count("*").alias("n_rows"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def change_summary(changed: dict[str, DataFrame]) -> DataFrame:
+    """Rows of each kind of change in each dataset."""
+    out = None
+    for name, rows in changed.items():
+        one = rows.groupBy("change_type").agg(F.count("*").alias("records")).select(F.lit(name).alias("dataset"), "change_type", "records")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def change_pivot(summary: DataFrame) -> DataFrame:
+    return summary.groupBy("dataset").pivot("change_type", KINDS).sum("records").na.fill(0)
+
+
+def product_rollup(mart: DataFrame, products: DataFrame) -> DataFrame:
+    """Versions rolled up to the product, under the name of the newest."""
+    rows = mart.join(products.select("product_sk", "product_name", "record_version"), "product_sk")
+    return rows.groupBy("product_id", "category").agg(F.max_by("product_name", "record_version").alias("product_name"), F.sum("total_quantity_sold").alias("units"), F.sum("total_orders").alias("orders"), _sum("net_revenue", "net_revenue"))
+
+
+def customer_rollup(mart: DataFrame, customers: DataFrame) -> DataFrame:
+    rows = mart.join(customers.select("customer_sk", "record_version"), "customer_sk")
+    return rows.groupBy("customer_id").agg(F.max_by("customer_name", "record_version").alias("customer_name"), F.sum("total_orders").alias("orders"), _sum("total_spent", "total_spent"), F.max("latest_order_date").alias("latest_order"))
+
+
+def revenue_by(breakdown: DataFrame, column: str) -> DataFrame:
+    """The monthly breakdown by one of its columns."""
+    return breakdown.groupBy(column).agg(_sum("net_revenue", "net_revenue"), F.sum("orders").alias("orders"))
+
+
+def paid_by_method(summary: DataFrame) -> DataFrame:
+    return summary.where("payment_status = 'SUCCESS'").groupBy("payment_method").agg(_sum("payment_amount", "payment_amount"))
+
+
+def payments_by_status(summary: DataFrame) -> DataFrame:
+    return summary.groupBy("payment_status").agg(_sum("payment_amount", "amount"), F.sum("payment_count").alias("payments"))
+
+
+def version_history(dims: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """All versions of the keys that have several, of every dimension (table and business key)."""
+    out = None
+    for name, (rows, key) in dims.items():
+        one = with_history(rows, key).select(F.lit(name).alias("dimension"), F.col(key).alias("business_key"), "effective_from", "effective_to", "is_current", "record_version")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def funnel(summary: DataFrame, changed: DataFrame, versions: DataFrame, sales: DataFrame, checks: DataFrame) -> DataFrame:
+    """One row: what came in, was held back, changed, was kept and built, and the checks passed."""
+    parts = [
+        summary.agg(F.sum("total").alias("raw_rows"), F.sum("invalid").alias("quarantined_rows"), F.sum("valid").alias("valid_rows")),
+        changed.where("change_type <> 'UNCHANGED'").agg(F.coalesce(F.sum("records"), F.lit(0)).alias("changes")),
+        versions.agg(F.count_if("is_current").alias("new_versions")),
+        sales.agg(F.count("*").alias("sales_rows")),
+        checks.agg(F.count_if(F.col("status") == "PASS").alias("checks_passed"), F.count("*").alias("checks_run")),
+    ]
+    out = parts[0]
+    for one in parts[1:]:
+        out = out.crossJoin(one)  # of single rows
+    return out

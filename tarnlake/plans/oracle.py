@@ -74,7 +74,7 @@ def _versions(name: str, base: str, later: str, key: str, value: str, shown: str
 _SK = ("effective_from", "record_version")
 _STAR = f""",
 {_versions("people", "r_customers", "r_changed_customers", "customer_id", "customer_segment", "{0}.customer_segment, concat_ws(' ', 'Customer', {0}.last_name) AS customer_full_name")},
-{_versions("goods", "r_products", "r_repriced_products", "product_id", "price", "{0}.price::DECIMAL(18,2) AS price, " + _title("{0}.category") + " AS category")},
+{_versions("goods", "r_products", "r_repriced_products", "product_id", "price", "{0}.price::DECIMAL(18,2) AS price, " + _title("{0}.category") + " AS category, " + _title("{0}.product_name") + " AS product_name")},
 dim_customer AS (SELECT {_key("customer_id", *_SK)} AS customer_sk, *, is_current AS is_active FROM people),
 dim_product AS (SELECT {_key("product_id", *_SK)} AS product_sk, * FROM goods),
 o0 AS (SELECT order_id, customer_id, upper(order_status) AS order_status, {_OD} AS order_day FROM r_orders WHERE customer_id <> 'C-1' AND order_date <> 'soon'),
@@ -138,7 +138,7 @@ SQL: dict[str, str] = (
         "k_customer": _star(_CUSTOMER),
         "k_payment": _star(f"SELECT payment_day::VARCHAR AS payment_date, payment_method, payment_status, count(*) AS payment_count, {', '.join(_MONEY.format(c, c) for c in ('payment_amount', 'refund_amount', 'net_payment_amount'))} FROM fact_payment GROUP BY payment_day, payment_method, payment_status"),
         "k_executive": _star(f"SELECT * FROM (SELECT count(DISTINCT order_sk) AS total_orders, count(*) AS total_items_sold, count(DISTINCT customer_id) AS total_customers, count(DISTINCT product_id) AS total_products_sold, {_MONEY.format('gross_amount', 'gross_revenue')}, {_MONEY.format('discount_amount', 'total_discount')}, {_MONEY.format('tax_amount', 'total_tax')}, {_MONEY.format('net_amount', 'net_revenue')}, {_ratio('sum(net_amount)', 'count(DISTINCT order_sk)')} AS average_order_value FROM fact_sales), (SELECT count(*) FILTER (is_successful) AS successful_payments, {_MONEY.format('payment_amount', 'total_payment_amount')}, {_MONEY.format('refund_amount', 'total_refund_amount')} FROM fact_payment)"),
-        "x_monthly_breakdown": _star(f"SELECT date_trunc('month', order_day)::DATE::VARCHAR AS month, category, customer_segment, order_status, {_MONEY.format('net_amount', 'net_revenue')}, {_MONEY.format('discount_amount', 'discount')}, count(*) AS items, count(DISTINCT order_sk) AS orders FROM fact_sales JOIN dim_product USING (product_sk) JOIN (SELECT customer_sk, customer_segment FROM dim_customer) USING (customer_sk) GROUP BY 1, 2, 3, 4"),
+        "x_monthly_breakdown": _star(f"SELECT date_trunc('month', order_day)::DATE::VARCHAR AS month, category, customer_segment, order_status, {_MONEY.format('net_amount', 'net_revenue')}, {_MONEY.format('discount_amount', 'discount')}, sum(quantity)::BIGINT AS items, count(DISTINCT order_sk) AS orders FROM fact_sales JOIN dim_product USING (product_sk) JOIN (SELECT customer_sk, customer_segment FROM dim_customer) USING (customer_sk) GROUP BY 1, 2, 3, 4"),
         "x_top_products": _star("SELECT product_id, sum(net_amount)::DOUBLE AS net_revenue FROM fact_sales GROUP BY product_id ORDER BY sum(net_amount) DESC, product_id LIMIT 10"),
         "x_top_customers": _star("SELECT customer_id, sum(net_amount)::DOUBLE AS total_spent FROM fact_sales GROUP BY customer_id ORDER BY sum(net_amount) DESC, customer_id LIMIT 10"),
         "x_scd2_history": _star("SELECT customer_id, customer_segment, effective_from::VARCHAR AS effective_from, effective_to::VARCHAR AS effective_to, n_versions FROM (SELECT *, count(*) OVER (PARTITION BY customer_id) AS n_versions FROM people) WHERE n_versions > 1"),
@@ -186,3 +186,59 @@ def _checks() -> str:
 
 
 SQL["q_checks"] = _star(_checks())
+
+
+# The strict profile: parents are those that passed.
+
+_REQUIRED = {
+    "customers": ("customer_id", "first_name", "last_name", "email", "city", "state", "country", "signup_date", "customer_segment"),
+    "products": ("product_id", "product_name", "category", "brand", "price", "stock_quantity"),
+    "orders": ("order_id", "customer_id", "order_date", "order_status", "shipping_city", "shipping_state"),
+    "order_items": ("order_item_id", "order_id", "product_id", "quantity", "unit_price", "discount_percentage"),
+    "payments": ("payment_id", "order_id", "payment_method", "payment_status", "payment_amount", "payment_date"),
+}
+_LATE = "coalesce(try_cast({0} AS TIMESTAMP) > TIMESTAMP '1998-01-01 00:00:00', true)"
+_STRICT_RULES = {
+    "customers": [("INVALID_EMAIL:email", f"NOT regexp_matches(email, '{_EMAIL}')"), ("INVALID_VALUE:customer_segment", "customer_segment NOT IN ('Regular', 'Silver', 'Gold', 'Platinum')"), ("INVALID_OR_FUTURE_DATE:signup_date", _LATE.format("signup_date"))],
+    "products": [("INVALID_VALUE:category", "category NOT IN ('Electronics', 'Fashion', 'Furniture', 'Books', 'Sports', 'Beauty', 'Home', 'Toys')"), ("INVALID_NUMERIC_VALUE:price", "coalesce(price <= 0, true)"), ("INVALID_NUMERIC_VALUE:stock_quantity", "coalesce(stock_quantity < 0, true)")],
+    "orders": [("INVALID_VALUE:order_status", "order_status NOT IN ('Delivered', 'Cancelled', 'Pending', 'Returned', 'Shipped')"), ("INVALID_OR_FUTURE_DATE:order_date", _LATE.format("order_date")), ("INVALID_FOREIGN_KEY:customer_id", "customer_id NOT IN (SELECT customer_id FROM t_customers WHERE rejection_reason = '')")],
+    "order_items": [(f"INVALID_FOREIGN_KEY:{c}", f"{c} NOT IN (SELECT {c} FROM t_{t} WHERE rejection_reason = '')") for c, t in (("order_id", "orders"), ("product_id", "products"))] + [("INVALID_NUMERIC_VALUE:quantity", "coalesce(quantity <= 0, true)"), ("INVALID_NUMERIC_VALUE:unit_price", "coalesce(unit_price <= 0, true)"), ("OUT_OF_RANGE:discount_percentage", "coalesce(discount_percentage < 0 OR discount_percentage > 100, true)")],
+    "payments": [("INVALID_FOREIGN_KEY:order_id", "order_id NOT IN (SELECT order_id FROM t_orders WHERE rejection_reason = '')"), ("INVALID_VALUE:payment_method", "payment_method NOT IN ('UPI', 'Credit Card', 'Debit Card', 'Net Banking', 'Wallet')"), ("INVALID_VALUE:payment_status", "payment_status NOT IN ('Success', 'Failed', 'Refunded', 'Pending')"), ("INVALID_NUMERIC_VALUE:payment_amount", "coalesce(payment_amount <= 0, true)"), ("INVALID_OR_FUTURE_DATE:payment_date", _LATE.format("payment_date"))],
+}
+_STRICT_NAMES = {n: f"strict_{n}" if n in ("customers", "products", "orders") else n for n in _ALL}
+
+
+def _strict_tables() -> str:
+    out = ""
+    for n in _ALL:
+        key = _BY_KEY[n]
+        tests = [(f"MISSING_REQUIRED_VALUE:{c}", f"{c} IS NULL OR trim({c}::VARCHAR) = ''") for c in _REQUIRED[n]]
+        tests += [(f"DUPLICATE_PRIMARY_KEY:{key}", f"count(*) OVER (PARTITION BY {key}) > 1"), *_STRICT_RULES[n]]
+        out += f",\nt_{n} AS (SELECT {key}, concat_ws(' | ', " + ", ".join(f"CASE WHEN {test} THEN '{code}' END" for code, test in tests) + f") AS rejection_reason FROM r_{_STRICT_NAMES[n]})"
+    return out
+
+
+_STRICT = _strict_tables()
+SQL |= {f"v_strict_{n}": _with(tuple(_STRICT_NAMES.values()), f"SELECT {_BY_KEY[n]}, rejection_reason FROM t_{n}", _STRICT) for n in _ALL}
+SQL["v_strict_audit"] = _with(tuple(_STRICT_NAMES.values()), " UNION ALL ".join(f"SELECT '{n}' AS dataset_name, count(*) AS input_record_count, count(*) FILTER (rejection_reason = '') AS valid_record_count, count(*) FILTER (rejection_reason <> '') AS invalid_record_count, round(count(*) FILTER (rejection_reason = '') * 100.0::DOUBLE / count(*), 2) AS validation_success_rate FROM t_{n}" for n in _ALL), _STRICT)
+
+# Roll-ups of the marts.
+
+_BOTH_CHANGES = """,
+goods_cdc AS (SELECT CASE WHEN p.price = n.price THEN 'UNCHANGED' ELSE 'UPDATED' END AS change_type FROM r_products p JOIN r_repriced_products n USING (product_id)),
+both_cdc AS (SELECT 'customers' AS dataset, change_type FROM cdc UNION ALL SELECT 'products', change_type FROM goods_cdc)"""
+_CHANGED = (*_BOTH, "products", "repriced_products")
+SQL["x_cdc_summary"] = _with(_CHANGED, "SELECT dataset, change_type, count(*) AS records FROM both_cdc GROUP BY ALL", _CDC + _BOTH_CHANGES)
+SQL["x_cdc_pivot"] = _with(_CHANGED, "SELECT dataset, " + ", ".join(f"count(*) FILTER (change_type = '{k}') AS {k}" for k in ("INSERTED", "UPDATED", "UNCHANGED", "DELETED")) + " FROM both_cdc GROUP BY dataset", _CDC + _BOTH_CHANGES)
+SQL["x_product_rollup"] = _star("SELECT d.product_id, d.category, d.product_name, coalesce(sum(s.q), 0)::BIGINT AS units, coalesce(sum(s.n), 0)::BIGINT AS orders, coalesce(sum(s.r), 0)::DOUBLE AS net_revenue FROM dim_product d LEFT JOIN (SELECT product_sk, sum(quantity) AS q, count(DISTINCT order_sk) AS n, sum(net_amount) AS r FROM fact_sales GROUP BY product_sk) s USING (product_sk) GROUP BY ALL")
+SQL["x_customer_rollup"] = _star("SELECT d.customer_id, d.customer_full_name AS customer_name, coalesce(sum(s.n), 0)::BIGINT AS orders, coalesce(sum(s.r), 0)::DOUBLE AS total_spent, max(s.b)::VARCHAR AS latest_order FROM dim_customer d LEFT JOIN (SELECT customer_sk, count(DISTINCT order_sk) AS n, sum(net_amount) AS r, max(order_day) AS b FROM fact_sales GROUP BY customer_sk) s USING (customer_sk) GROUP BY ALL")
+_BREAKDOWN = """(SELECT date_trunc('month', order_day)::DATE::VARCHAR AS month, category, customer_segment, order_status, sum(net_amount) AS net_revenue, count(DISTINCT order_sk) AS orders
+  FROM fact_sales JOIN dim_product USING (product_sk) JOIN (SELECT customer_sk, customer_segment FROM dim_customer) USING (customer_sk) GROUP BY 1, 2, 3, 4)"""
+for _k, _c in (("month", "month"), ("category", "category"), ("segment", "customer_segment")):
+    SQL[f"x_revenue_by_{_k}"] = _star(f"SELECT {_c}, sum(net_revenue)::DOUBLE AS net_revenue, sum(orders)::BIGINT AS orders FROM {_BREAKDOWN} GROUP BY {_c}")
+SQL["x_paid_by_method"] = _star("SELECT payment_method, sum(payment_amount)::DOUBLE AS payment_amount FROM fact_payment WHERE payment_status = 'SUCCESS' GROUP BY payment_method")
+SQL["x_payments_by_status"] = _star("SELECT payment_status, sum(payment_amount)::DOUBLE AS amount, count(*) AS payments FROM fact_payment GROUP BY payment_status")
+_VERSIONS = " UNION ALL ".join(f"SELECT 'dim_{k}' AS dimension, {k}_id AS business_key, effective_from::VARCHAR AS effective_from, effective_to::VARCHAR AS effective_to, is_current, record_version FROM (SELECT *, count(*) OVER (PARTITION BY {k}_id) AS n FROM dim_{k}) WHERE n > 1" for k in ("customer", "product"))
+SQL["x_version_history"] = _star(_VERSIONS)
+SQL["x_funnel"] = _with((*_STARS, *_BOTH), f"""SELECT * FROM (SELECT count(*) AS raw_rows, count(*) FILTER (reason <> '') AS quarantined_rows, count(*) FILTER (reason = '') AS valid_rows FROM e_all), (SELECT count(*) FILTER (change_type <> 'UNCHANGED') AS changes FROM both_cdc),
+  (SELECT count(*) FILTER (is_current) AS new_versions FROM ({_VERSIONS})), (SELECT count(*) AS sales_rows FROM fact_sales), (SELECT count(*) FILTER (status = 'PASS') AS checks_passed, count(*) AS checks_run FROM ({_checks()}))""", _STAR + _ERRORS + _CDC + _BOTH_CHANGES)

@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import assertions, changes, cleaning, history, star, validation
+from ..operators import assertions, changes, cleaning, history, star, strict, validation
 from . import marts
 from .retail import SECOND, relation
 
@@ -42,6 +42,23 @@ def rule_summary(spark, d):
     return validation.summary(validation.everything(_raw(spark, d)))
 
 
+#: The present of the strict profile's queries.
+NOW = "1998-01-01 00:00:00"
+
+
+def _strict(spark, d):
+    names = {n: f"strict_{n}" for n in ("customers", "products", "orders")}
+    return strict.everything({n: relation(spark, d, names.get(n, n)) for n in DATASETS}, F.lit(NOW).cast("timestamp"))
+
+
+def strict_errors(name, spark, d):
+    return _strict(spark, d)[name].select(validation.KEYS[name], "rejection_reason")
+
+
+def strict_audit(spark, d):
+    return strict.audit(_strict(spark, d))
+
+
 def anti_fk(spark, d):
     o, c = relation(spark, d, "orders"), relation(spark, d, "customers")
     return o.join(c, "customer_id", "left_anti").select("order_id", "customer_id")
@@ -67,6 +84,20 @@ def merge(spark, d):
     return plain(changes.merged(previous, typed, ["customer_id"]).select("customer_id", "customer_full_name", "customer_segment", "signup_date"))
 
 
+def _changes(spark, d):
+    """Of customers and products."""
+    goods = changes.changes(relation(spark, d, "repriced_products"), relation(spark, d, "products"), ["product_id"])
+    return marts.change_summary({"customers": _customer_changes(spark, d), "products": goods})
+
+
+def change_summary(spark, d):
+    return _changes(spark, d)
+
+
+def change_pivot(spark, d):
+    return marts.change_pivot(_changes(spark, d))
+
+
 _VERSION = ["customer_id", "customer_segment", "effective_from", "effective_to", "is_current", "record_version"]
 
 
@@ -162,6 +193,20 @@ def mart(name, spark, d):
         out = marts.top(marts.customer_performance(sales, t["dim_customer"]), "customer_id", "total_spent")
     elif name == "history":
         out = marts.with_history(t["dim_customer"], "customer_id").select("customer_id", "customer_segment", "effective_from", "effective_to", "n_versions")
+    elif name == "product_rollup":
+        out = marts.product_rollup(marts.product_performance(sales, t["dim_product"]), t["dim_product"])
+    elif name == "customer_rollup":
+        out = marts.customer_rollup(marts.customer_performance(sales, t["dim_customer"]), t["dim_customer"])
+    elif name in ("month", "category", "customer_segment"):
+        out = marts.revenue_by(marts.monthly_breakdown(sales, t["dim_product"], t["dim_customer"]), name)
+    elif name == "methods":
+        out = marts.paid_by_method(marts.payment_summary(pays))
+    elif name == "statuses":
+        out = marts.payments_by_status(marts.payment_summary(pays))
+    elif name == "versions":
+        out = marts.version_history({"dim_customer": (t["dim_customer"], "customer_id"), "dim_product": (t["dim_product"], "product_id")})
+    elif name == "funnel":
+        out = marts.funnel(rule_summary(spark, d), _changes(spark, d), mart("versions", spark, d), sales, assertions.suite(t, t))
     elif name == "repeat":
         out = marts.repeat_customers(sales)
     else:
@@ -179,4 +224,7 @@ QUERIES = (
     | {"q_checks": checks}
     | {f"k_{n}": partial(mart, n) for n in ("daily", "product", "customer", "payment", "executive")}
     | {f"x_{k}": partial(mart, n) for k, n in (("monthly_breakdown", "monthly"), ("top_products", "top_products"), ("top_customers", "top_customers"), ("scd2_history", "history"), ("repeat_customers", "repeat"), ("layer_counts", "layers"))}
+    | {f"v_strict_{n}": partial(strict_errors, n) for n in DATASETS}
+    | {"v_strict_audit": strict_audit, "x_cdc_summary": change_summary, "x_cdc_pivot": change_pivot}
+    | {f"x_{k}": partial(mart, n) for k, n in (("product_rollup", "product_rollup"), ("customer_rollup", "customer_rollup"), ("revenue_by_month", "month"), ("revenue_by_category", "category"), ("revenue_by_segment", "customer_segment"), ("paid_by_method", "methods"), ("payments_by_status", "statuses"), ("version_history", "versions"), ("funnel", "funnel"))}
 )

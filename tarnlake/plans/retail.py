@@ -36,12 +36,18 @@ _BATCHES = {
     "current_customers": f"SELECT customer_id, first_name, last_name, email, city, state, country, signup_date, CASE WHEN {_NUMBER} % 7 = 0 THEN 'Platinum' ELSE customer_segment END AS customer_segment FROM {{customers}} WHERE {_NUMBER} % 17 <> 0",
     "changed_customers": f"SELECT customer_id, first_name, last_name, email, city, state, country, signup_date, CASE WHEN {_NUMBER} % 7 = 0 THEN 'Platinum' ELSE customer_segment END AS customer_segment FROM {{customers}}",
     "repriced_products": "SELECT product_id, product_name, category, brand, CASE WHEN CAST(substr(product_id, 2) AS BIGINT) % 11 = 0 THEN price + 1 ELSE price END AS price, stock_quantity FROM {products}",
+    "strict_customers": f"""SELECT customer_id, first_name, last_name, email, city, state, country, signup_date,
+      CASE WHEN {_NUMBER} % 37 = 0 THEN 'Diamond' WHEN {_NUMBER} % 2 = 0 THEN 'Gold' ELSE 'Regular' END AS customer_segment FROM {{customers}}""",
+    "strict_products": """SELECT product_id, product_name, CASE CAST(substr(product_id, 2) AS BIGINT) % 9 WHEN 0 THEN 'Garden' WHEN 1 THEN 'Books' WHEN 2 THEN 'Toys' ELSE 'Home' END AS category,
+      brand, price, stock_quantity FROM {products}""",
+    "strict_orders": """SELECT order_id, customer_id, order_date, order_status, 'town' AS shipping_city,
+      CASE WHEN CAST(substr(order_id, 2) AS BIGINT) % 41 = 0 THEN '  ' ELSE 'state' END AS shipping_state FROM {orders}""",
 }
+_BASE = {n: n.split("_")[1] for n in _BATCHES} | {"repriced_products": "products"}
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    if name in _BATCHES:
-        base = "products" if name == "repriced_products" else "customers"
+    if base := _BASE.get(name):
         return spark.sql(_BATCHES[name], **{base: relation(spark, sf_dir, base)})
     return spark.sql(_VIEWS[name], **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES[name]})
 
@@ -49,8 +55,8 @@ def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def prelude(*names: str) -> str:
     """The relations as common table expressions r_<name>, for the SQL that checks a query."""
     out = []
-    for name in dict.fromkeys(n for x in names for n in ([*(["products"] if x == "repriced_products" else ["customers"] if x in _BATCHES else []), x])):
-        sql = _BATCHES.get(name) or _VIEWS[name]
-        tables = {t: t for ts in _TABLES.values() for t in ts} | {"customers": "r_customers", "products": "r_products"}
-        out.append(f"r_{name} AS ({sql.format(**tables)})")
+    for name in dict.fromkeys(n for x in names for n in (_BASE.get(x), x) if n):
+        tables = {t: t for ts in _TABLES.values() for t in ts}
+        sql = (_BATCHES.get(name) or _VIEWS[name]).format(**tables | ({_BASE[name]: f"r_{_BASE[name]}"} if name in _BASE else {}))
+        out.append(f"r_{name} AS ({sql})")
     return ",\n".join(out)

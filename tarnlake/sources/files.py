@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.columns import record_hash
+from .storage import Storage
 
 
 class LayerMissing(FileNotFoundError):
@@ -30,8 +31,12 @@ def profile_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame
     return rows.select(F.struct(*rows.columns).alias("r")).agg(F.count("*").alias("n_rows"), F.count("r._corrupt").alias("n_broken"))
 
 
-def layer_path(root: str, layer: str, batch: str, dataset: str) -> str:
-    return f"{root.rstrip('/')}/{layer}/batch_date={batch}/{dataset}"
+def layer_root(root: str | Storage, layer: str) -> str:
+    return root.path(layer) if isinstance(root, Storage) else f"{root.rstrip('/')}/{layer}"
+
+
+def layer_path(root: str | Storage, layer: str, batch: str, dataset: str) -> str:
+    return f"{layer_root(root, layer)}/batch_date={batch}/{dataset}"
 
 
 def _path(spark: SparkSession, path: str):
@@ -44,14 +49,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def read_layer(spark: SparkSession, root: str, layer: str, batch: str, dataset: str) -> DataFrame:
+def read_layer(spark: SparkSession, root: str | Storage, layer: str, batch: str, dataset: str) -> DataFrame:
     path = layer_path(root, layer, batch, dataset)
     if not exists(spark, path):
         raise LayerMissing(path)
     return spark.read.parquet(path)
 
 
-def write_layer(df: DataFrame, root: str, layer: str, batch: str, dataset: str) -> None:
+def write_layer(df: DataFrame, root: str | Storage, layer: str, batch: str, dataset: str) -> None:
     df.write.mode("overwrite").parquet(layer_path(root, layer, batch, dataset))
 
 
@@ -61,15 +66,15 @@ def write_audit(df: DataFrame, path: str, kind: str = "json") -> None:
     one.json(path) if kind == "json" else one.option("header", True).csv(path)
 
 
-def commit(spark: SparkSession, root: str, batch: str) -> None:
+def commit(spark: SparkSession, root: str | Storage, batch: str) -> None:
     """Marks the batch as whole: later batches compare with committed ones only."""
-    p, fs = _path(spark, f"{root.rstrip('/')}/committed/{batch}")
+    p, fs = _path(spark, f"{layer_root(root, 'committed')}/{batch}")
     fs.create(p, True).close()
 
 
-def previous_batch(spark: SparkSession, root: str, batch: str) -> str | None:
+def previous_batch(spark: SparkSession, root: str | Storage, batch: str) -> str | None:
     """The latest committed batch before this one."""
-    p, fs = _path(spark, f"{root.rstrip('/')}/committed")
+    p, fs = _path(spark, layer_root(root, "committed"))
     names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
     return max((n for n in names if n < batch), default=None)
 
