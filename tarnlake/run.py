@@ -1,6 +1,6 @@
-"""The batch run: ``python -m tarnlake.run --root LAKE --source FOLDER --batch-date D [--start-from STAGE]``.
+"""The batch run: ``python -m tarnlake run --root LAKE --source FOLDER --batch-date D [--start-from STAGE]``.
 
-Eight stages in one session; each writes its layer and the next reads it. A batch is committed at the end, and
+Nine stages in one session; each writes its layer and the next reads it. A batch is committed at the end, and
 later batches compare with committed ones only. The run's log is written beside the layers.
 """
 
@@ -8,15 +8,19 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import re
 import time
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import assertions, changes, cleaning, history, star, validation
+from .operators import assertions, changes, cleaning, history, star, strict, validation
 from .plans import marts
-from .sources import files
+from .sources import files, generate
+from .sources import snapshot as found
+from .sources.storage import Storage
 
 SCHEMAS = {
     "customers": "customer_id string, first_name string, last_name string, email string, phone string, city string, state string, country string, signup_date string, customer_segment string",
@@ -31,7 +35,7 @@ TECHNICAL = ["batch_date", "source_file", "ingestion_timestamp", "record_hash"]
 
 
 class Run:
-    def __init__(self, spark: SparkSession, root: str, source: str, batch: str):
+    def __init__(self, spark: SparkSession, root, source: str | None, batch: str):
         self.spark, self.root, self.source, self.batch = spark, root, source, batch
         self.previous = files.previous_batch(spark, root, batch)
 
@@ -131,10 +135,13 @@ def cause(error: BaseException) -> str:
     return (inner[-1] if inner else text.split("\n")[0])[:500]
 
 
-def run(spark: SparkSession, root: str, source: str, batch: str, start: str = STAGES[0]) -> dict:
-    """Runs the stages from ``start`` on; stops at the first that fails. Returns the log, which is written in either case."""
-    job, log = Run(spark, root, source, batch), {"batch_date": batch, "stages": [], "status": "SUCCESS"}
-    for name in STAGES[STAGES.index(start) :]:
+def run(spark: SparkSession, root, source: str | None, batch: str, start: str = STAGES[0], end: str = STAGES[-1], monitoring: bool = True) -> dict:
+    """Runs the stages from ``start`` to ``end``; stops at the first that fails. Returns the log, which is written in either case."""
+    now = time.time()
+    started = time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime(now))
+    log = {"run_id": f"run-{batch}-{int(now * 1000)}", "batch_date": batch, "started_at": started, "start_from": start, "triggered_by": os.environ.get("PIPELINE_TRIGGERED_BY", "manual"), "stages": [], "status": "SUCCESS"}
+    job = Run(spark, root, source, batch)
+    for name in STAGES[STAGES.index(start) : STAGES.index(end) + 1]:
         began, entry = time.time(), {"stage": name, "status": "SUCCESS"}
         log["stages"].append(entry)
         try:
@@ -145,22 +152,95 @@ def run(spark: SparkSession, root: str, source: str, batch: str, start: str = ST
         entry["seconds"] = round(time.time() - began, 1)
         if log["status"] == "FAILED":
             break
-    if log["status"] == "SUCCESS":
+    log["seconds"] = round(time.time() - now, 1)
+    if log["status"] == "SUCCESS" and end == STAGES[-1]:
         files.commit(spark, root, batch)
-    files.write_audit(spark.createDataFrame([(batch, json.dumps(log))], "batch_date string, log string"), files.layer_path(root, "audit", batch, "run"))
+    if monitoring:
+        kept = spark.createDataFrame([(log["run_id"], batch, log["status"], started, json.dumps(log))], "run_id string, batch_date string, status string, started_at string, log string")
+        files.write_audit(kept, files.layer_path(root, "audit", batch, f"runs/{log['run_id']}"))
     return log
 
 
-def main() -> int:
+def ingest(spark: SparkSession, root, source: str, pattern: str, batch: str | None, manifest_path: str, scan_only: bool = False) -> dict:
+    """Compares the source's files with the manifest; where any is new, changed or failed before, stages and validates the snapshot."""
+    known = json.loads(Path(manifest_path).read_text()) if Path(manifest_path).exists() else {}
+    manifest = files.scan_files(source, pattern, known)
+    files.save_manifest(manifest, manifest_path)
+    waiting = [n for n, x in manifest.items() if x["state"] == "PENDING"]
+    if scan_only or not waiting:
+        return {"waiting": waiting, "status": "SCANNED"}
+    if batch is None:
+        raise ValueError("a batch date is needed unless files are only scanned")
+    for n in waiting:
+        files.advance(manifest, n, "PROCESSING")
+    files.save_manifest(manifest, manifest_path)
+    log = run(spark, root, source, batch, "bronze", "validation")
+    for n in waiting:
+        files.advance(manifest, n, "PROCESSED" if log["status"] == "SUCCESS" else "FAILED")
+    files.save_manifest(manifest, manifest_path)
+    return log | {"waiting": waiting}
+
+
+def snapshot(spark: SparkSession, root, source: str, batch: str) -> dict:
+    """Facts of the source files and of the layers that are there."""
+    from pyspark.sql.types import StructType
+
+    facts = {n: found.source_facts(spark, f"{source}/{n}.csv", StructType.fromDDL(SCHEMAS[n]), validation.KEYS[n]) for n in NAMES}
+    return {"batch_date": batch, "source_files": facts, "layers": found.layers_present(spark, root, batch, ("bronze", "valid", "changes", "silver", "history", "enriched", "gold", "marts"))}
+
+
+def strict_batch(spark: SparkSession, root, source: str, batch: str) -> None:
+    """The standalone profile over a source's files: valid and rejected rows and an audit."""
+    from pyspark.sql.types import StructType
+
+    tables = {n: files.read_csv(spark, f"{source}/{n}.csv", StructType.fromDDL(SCHEMAS[n])) for n in NAMES}
+    for n, rows in strict.everything(tables).items():
+        files.write_layer(rows, root, "checked", batch, f"strict_{n}")
+    kept = {n: files.read_layer(spark, root, "checked", batch, f"strict_{n}") for n in NAMES}
+    for n, rows in kept.items():
+        good, bad = strict.split(rows)
+        files.write_layer(good, root, "processed", batch, n)
+        files.write_layer(bad, root, "quarantine", batch, f"strict_{n}")
+    files.write_audit(strict.audit(kept), files.layer_path(root, "audit", batch, "strict"))
+
+
+COMMANDS = ("run", *STAGES, "ingest", "strict", "snapshot", "generate", "simulate", "dirty")
+
+
+def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(description=__doc__)
-    for name in ("--root", "--source", "--batch-date"):
-        p.add_argument(name, required=True)
+    p.add_argument("command", choices=COMMANDS, help="the whole batch, one of its stages, or a tool beside it")
+    p.add_argument("--root", help="the lake; without it STORAGE_MODE and its kin say where the layers lie")
+    p.add_argument("--source", "--source-root", help="folder of the five CSV files")
+    p.add_argument("--target", help="folder that made-up batches are written to")
+    p.add_argument("--batch-date")
     p.add_argument("--start-from", choices=STAGES, default=STAGES[0])
-    a = p.parse_args()
+    p.add_argument("--no-monitoring", action="store_true")
+    p.add_argument("--file-pattern", default="*.csv")
+    p.add_argument("--scan-only", action="store_true")
+    p.add_argument("--manifest", default="file_manifest.json")
+    p.add_argument("--seed", type=int, default=7)
+    a = p.parse_args(argv)
+    root = a.root or Storage.from_env()
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    log = run(spark, a.root, a.source, a.batch_date, a.start_from)
+    if a.command in ("generate", "simulate", "dirty"):
+        from pyspark.sql.types import StructType
+
+        day = generate.clean(spark, seed=a.seed) if a.command == "generate" else {n: files.read_csv(spark, f"{a.source}/{n}.csv", StructType.fromDDL(SCHEMAS[n])) for n in NAMES}
+        generate.write(generate.next_day(day, a.batch_date, a.seed) if a.command == "simulate" else generate.dirty(day, a.seed) if a.command == "dirty" else day, a.target)
+        return 0
+    if a.command == "ingest":
+        log = ingest(spark, root, a.source, a.file_pattern, a.batch_date, a.manifest, a.scan_only)
+    elif a.command == "snapshot":
+        log = snapshot(spark, root, a.source, a.batch_date)
+    elif a.command == "strict":
+        log = strict_batch(spark, root, a.source, a.batch_date) or {}
+    elif a.command == "run":
+        log = run(spark, root, a.source, a.batch_date, a.start_from, monitoring=not a.no_monitoring)
+    else:
+        log = run(spark, root, a.source, a.batch_date, a.command, a.command, not a.no_monitoring)
     print(json.dumps(log))
-    return int(log["status"] != "SUCCESS")
+    return int(log.get("status") == "FAILED")
 
 
 if __name__ == "__main__":

@@ -27,7 +27,7 @@ def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 def profile_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """One row: lines, and lines that don't fit the schema (ragged rows or text in a number)."""
     wide = StructType([*schema.fields]).add("_corrupt", "string")
-    rows = spark.read.schema(wide).option("header", True).option("columnNameOfCorruptRecord", "_corrupt").csv(path)
+    rows = spark.read.schema(wide).option("header", True).option("columnNameOfCorruptRecord", "_corrupt").option("columnPruning", False).csv(path)
     return rows.select(F.struct(*rows.columns).alias("r")).agg(F.count("*").alias("n_rows"), F.count("r._corrupt").alias("n_broken"))
 
 
