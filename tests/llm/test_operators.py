@@ -225,6 +225,39 @@ def test_passages(spark):
     assert best == [(0, 0), (5, 5), (10, 10)]
 
 
+def _brute_links(texts):
+    """Pairs of different texts with a stretch of 40 to 79 words, word for word, that agrees in 0.8."""
+    links, ids = set(), {}
+    words = [np.array([ids.setdefault(w, len(ids)) for w in t.split()]) for t in texts]
+    for i, x in enumerate(words):
+        for j, y in enumerate(words[:i]):
+            for d in range(40 - len(y), len(x) - 39):
+                same = np.concatenate(([0], np.cumsum(x[max(d, 0) : len(y) + d] == y[max(-d, 0) : max(-d, 0) + min(len(x), len(y) + d) - max(d, 0)])))
+                if texts[i] != texts[j] and any((same[n:] - same[:-n] >= 0.8 * n).any() for n in range(40, min(80, len(same)))):
+                    links |= {(i, j), (j, i)}
+                    break
+    return links
+
+
+def test_all_links_of_a_passage_count(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    own = lambda n: ["".join(map(chr, rng.integers(97, 123, 7))) for _ in range(n)]
+    shared, common, quoted = own(60), own(60), own(60)
+    texts = [own(20 + k) + shared + own(30) for k in range(12)]
+    # a passage of common phrases: A and B hold it whole, many others a phrase of it each
+    texts += [own(10 + k) + common[12 * (k % 5) : 12 * (k % 5) + 12] + own(20) for k in range(30)]
+    texts += [own(30) + common + own(9), own(9) + common + own(30)]
+    # phrases of the passage stand before it, out of order
+    texts += [own(9) + quoted + own(50), sum((quoted[k : k + 8] + own(70) for k in range(52, -1, -8)), []) + quoted + own(5)]
+    texts = [" ".join(t) for t in texts]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    links = _brute_links(texts)
+    least = {i: min([i, *(j for k, j in links if k == i)]) for i in range(len(texts))}  # classes here are cliques
+    found = {r.doc_id: (r.class_id, r.n_links) for r in queries.QUERIES["op6_passages"](spark, str(tmp_path)).collect()}
+    assert found == {i: (least[i], sum(k == i for k, _ in links)) for i in range(len(texts))}
+    assert [found[i][1] for i in (0, 11, 42, 43, 44, 45)] == [11, 11, 1, 1, 1, 1]
+
+
 def test_pipeline_stages_do_what_they_say(spark):
     docs, columns = table(spark, SF, "documents"), table(spark, SF, "documents").columns
     bench = table(spark, SF, "benchmark")
