@@ -258,6 +258,20 @@ def test_all_links_of_a_passage_count(spark, tmp_path):
     assert [found[i][1] for i in (0, 11, 42, 43, 44, 45)] == [11, 11, 1, 1, 1, 1]
 
 
+def test_recall_of_fuzzy_passages(spark):
+    rng = np.random.default_rng(3)
+    own = lambda n: list(map(str, rng.integers(1 << 40, size=n)))
+    texts = []
+    for m, step in [(40, 8), (50, 10), (60, 12), (100, 8)] * 10:
+        passage = own(m)
+        changed = [own(1)[0] if k % step == step - 1 else w for k, w in enumerate(passage)]
+        texts += [" ".join(own(90) + passage + own(90)), " ".join(own(20) + changed + own(150))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keys = {r.text: r.key for r in docs.select("text", passages._key(docs.text).alias("key")).collect()}
+    want = {frozenset((keys[a], keys[b])) for a, b in zip(texts[::2], texts[1::2])}
+    assert {frozenset((r.a, r.b)) for r in passages.linked(docs).collect()} == want
+
+
 def test_pipeline_stages_do_what_they_say(spark):
     docs, columns = table(spark, SF, "documents"), table(spark, SF, "documents").columns
     bench = table(spark, SF, "benchmark")
