@@ -272,6 +272,18 @@ def test_recall_of_fuzzy_passages(spark):
     assert {frozenset((r.a, r.b)) for r in passages.linked(docs).collect()} == want
 
 
+def test_passage_after_its_phrases(spark):
+    rng = np.random.default_rng(6)
+    own = lambda n: list(map(str, rng.integers(1 << 40, size=n)))
+    p = own(60)
+    texts = [" ".join(own(9) + p + own(50)), " ".join(sum((p[k : k + 8] + own(70) for k in range(52, -1, -8)), []) + p + own(9) + p + own(5))]
+    found = passages.passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(r.similarity >= 0.8 for r in found)
+    # both copies in the second text, and the one as a repeat of the other within it
+    assert len({(r.a, r.b, r.a0 - r.b0) for r in found if r.a != r.b and r.b1 - r.b0 == 60}) >= 2
+    assert any(r.a == r.b and abs(r.a0 - r.b0) == 69 for r in found)
+
+
 def test_pipeline_stages_do_what_they_say(spark):
     docs, columns = table(spark, SF, "documents"), table(spark, SF, "documents").columns
     bench = table(spark, SF, "benchmark")
