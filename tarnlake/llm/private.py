@@ -1,15 +1,15 @@
 """Operator 8: information-theoretic sanitisation of personal data.
 
 Protected entities are what the base patterns find. Corpus co-occurrence tells how much of an entity's
-information a term near it reveals: with counts over all documents, PMI(t; e) = log(N n(t,e) / (n(t) n(e)))
-against IC(e) = log(N / n(e)). A term whose share PMI / IC reaches ``DISCLOSURE``, with the evidence of
-``SUPPORT`` different texts, is marked in those texts beside the entity and generalised like it.
+information a term of the same document reveals: with counts over all documents, PMI(t; e) =
+log(N n(t,e) / (n(t) n(e))) against IC(e) = log(N / n(e)). A term whose share PMI / IC reaches ``DISCLOSURE``
+is generalised like the entity wherever it stands in a text that holds the entity. No term is too short and no
+entity too rare: a term of a single document reveals an entity of that document only.
 
 Base patterns, as stated with the query: email, ip, card, phone. Scans are linear in the text: an address
 is sought from its ``@``, a dotted number as one run. Positions are code points, ends exclusive.
 
-Nulls: a null text is empty; empty texts have no spans. Repeated rows are each returned and counted, but
-copies of one text are one piece of evidence. Empty table: no rows. Other columns are carried.
+Nulls: a null text is empty; empty texts have no spans. Repeated rows are each returned and counted. Empty table: no rows. Other columns are carried.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import ALNUM, LOWER, flat, small, small_batches, stored, table, word_hashes, word_spans
 
 KINDS = ("email", "ip", "card", "phone")
-#: Share of an entity's information, different texts, words looked at on either side, and least letters of a term.
-DISCLOSURE, SUPPORT, REACH, LEAST = 0.9, 3, 8, 4
+#: Share of an entity's information.
+DISCLOSURE = 0.9
 PARTS = 16
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++")
@@ -91,42 +91,38 @@ def base(text: str | None) -> list[tuple[int, int, int]]:
     return found
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Entity number, hash, start and end of the terms within reach of each entity and in no entity."""
+def free_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Hash, start and end of all the text's terms that are in no entity."""
     data, offsets = flat(pa.array([text]))
     data = LOWER[data]
     starts, ends, _ = word_spans(data, offsets, ALNUM)
     hashes = word_hashes(data, starts, ends).view(np.int64)
     lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
     starts, ends = lead[starts], lead[ends]
-    free = (ends - starts >= LEAST)
+    free = np.ones(len(starts), bool)
     for _, a, b in spans:
         free[np.searchsorted(ends, a, "right") : np.searchsorted(starts, b)] = False
-    out = []
-    for k, (_, a, b) in enumerate(spans):
-        i, j = np.searchsorted(ends, a, "right"), np.searchsorted(starts, b)
-        near = [*range(max(0, i - REACH), i), *range(j, min(j + REACH, len(starts)))]
-        out += [(k, int(hashes[x]), int(starts[x]), int(ends[x])) for x in near if free[x]]
-    return out
+    return list(zip(hashes[free].tolist(), starts[free].tolist(), ends[free].tolist()))
 
 
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-_TERM = pa.struct([("entity", pa.string()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
-_FOUND = pa.struct([("base", pa.list_(_SPAN)), ("near", pa.list_(_TERM))])
-_DDL = "struct<base: array<struct<kind: int, start: int, end: int>>, near: array<struct<entity: string, term: bigint, start: int, end: int>>>"
+_TERM = pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+_FOUND = pa.struct([("entities", pa.list_(pa.string())), ("terms", pa.list_(_TERM))])
+_SPAN_DDL = "array<struct<kind: int, start: int, end: int>>"
+_DDL = "struct<entities: array<string>, terms: array<struct<term: bigint, start: int, end: int>>>"
+
+
+def _base(texts: pa.Array) -> pa.Array:
+    return pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in base(text)] for text in texts.to_pylist()], pa.list_(_SPAN))
 
 
 def _find(texts: pa.Array) -> pa.Array:
+    """The different entities of each text, and all its terms if there are any."""
     rows = []
     for text in texts.to_pylist():
         spans = base(text)
-        near = near_terms(text, spans) if spans else []
-        rows.append(
-            {
-                "base": [{"kind": k, "start": a, "end": b} for k, a, b in spans],
-                "near": [{"entity": text[spans[k][1] : spans[k][2]], "term": h, "start": a, "end": b} for k, h, a, b in near],
-            }
-        )
+        terms = free_terms(text, spans) if spans else []
+        rows.append({"entities": sorted({text[a:b] for _, a, b in spans}), "terms": [{"term": h, "start": a, "end": b} for h, a, b in terms]})
     return pa.array(rows, _FOUND)
 
 
@@ -137,9 +133,7 @@ def _term_counts(batches):
         data = LOWER[data]
         starts, ends, first = word_spans(data, offsets, ALNUM)
         hashes = word_hashes(data, starts, ends)
-        keep = ends - starts >= LEAST
-        owner = np.repeat(np.arange(batch.num_rows), np.diff(first))[keep]
-        hashes = hashes[keep]
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(first))
         order = np.lexsort((owner, hashes))
         hashes, owner = hashes[order], owner[order]
         new = np.ones(len(hashes), bool)
@@ -149,33 +143,39 @@ def _term_counts(batches):
 
 
 def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """``entity, term``: the pairs whose term reveals enough of the entity. ``found``: one row a distinct text, with its copies."""
-    total = texts.select(F.count("*").alias("all_docs"))  # one row
-    pairs = found.select("digest", "copies", F.explode("near").alias("x")).select("digest", "copies", "x.entity", "x.term").distinct()
-    each = found.select("digest", "copies", F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity"))
+    """``digest, term``: the terms of a text that reveal enough of an entity in it. ``found``: one row a distinct text, with its copies."""
+    total = F.broadcast(texts.select(F.count("*").alias("all_docs")))  # one row
+    each = found.select("digest", "copies", F.explode("entities").alias("entity"))
     n_e = each.groupBy("entity").agg(F.sum("copies").alias("n_e"))
-    n_te = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT)
     n_t = texts.mapInArrow(_term_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
-    rows = n_te.join(n_e, "entity").join(n_t, "term").crossJoin(F.broadcast(total))  # with its single row
+    each = each.join(n_e, "entity")
+    # n(t,e) is n(e) at most, so a term that reaches the share has n(t) <= N^(1-D) n(e)^D
+    most = each.groupBy("digest").agg(F.max("n_e").alias("most"))
+    terms = found.select("digest", F.explode(F.array_distinct(F.transform("terms", lambda x: x["term"]))).alias("term"))
+    terms = terms.join(most, "digest").join(n_t, "term").crossJoin(total)
+    bound = lambda n: F.pow("all_docs", F.lit(1 - DISCLOSURE)) * F.pow(n, F.lit(DISCLOSURE)) * 1.000001
+    terms = stored(terms.where(F.col("n_t") <= bound("most")).select("digest", "term", "n_t", "all_docs"), "rare-terms")
+    pairs = stored(terms.join(each, "digest").where(F.col("n_t") <= bound("n_e")), "term-pairs")
+    n_te = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"), F.first("all_docs").alias("all_docs"))
     information = F.log(F.col("all_docs") / F.col("n_e"))
     pmi = F.log(F.col("all_docs") * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    return rows.where((information > 0) & (pmi >= DISCLOSURE * information)).select("entity", "term")
+    reveal = n_te.where((information > 0) & (pmi >= DISCLOSURE * information)).select("entity", "term")
+    return pairs.join(reveal, ["entity", "term"]).select("digest", "term").distinct()
 
 
 def spans(docs: DataFrame, id_col="doc_id", text_col="text", carry: bool = False) -> DataFrame:
     """``doc_id, base, added`` of each document (arrays of kind, start, end); with ``carry`` also ``row``, all its columns."""
     small_batches(docs.sparkSession)
     text = F.col(text_col)
-    found = F.arrow_udf(_find, _DDL)(text)
     digest = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
-    near = docs.select(digest.alias("digest"), found["near"].alias("near")).where(F.size("near") > 0)
-    near = stored(near.groupBy("digest").agg(F.count("*").alias("copies"), F.first("near").alias("near")), "private")
-    reveal = disclosing(near, docs.select(text))
-    terms = near.select("digest", F.explode("near").alias("x")).select("digest", "x.*").join(reveal, ["entity", "term"])
+    found = docs.select(digest.alias("digest"), F.arrow_udf(_find, _DDL)(text).alias("f")).where(F.size("f.entities") > 0)
+    found = stored(found.groupBy("digest").agg(F.count("*").alias("copies"), F.first("f").alias("f")).select("digest", "copies", "f.*"), "private")
+    places = found.select("digest", F.explode("terms").alias("x")).select("digest", "x.*")
+    terms = places.join(disclosing(found, docs.select(text)), ["digest", "term"])
     span = F.struct(F.lit(len(KINDS)).alias("kind"), "start", "end")
     terms = terms.select("digest", span.alias("span")).groupBy("digest").agg(F.array_sort(F.collect_set("span")).alias("added"))
     terms = stored(terms, "disclosing")
-    rows = docs.select(F.col(id_col).alias("doc_id"), found["base"].alias("base"), digest.alias("digest"), *([F.struct("*").alias("row")] if carry else []))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.arrow_udf(_base, _SPAN_DDL)(text).alias("base"), digest.alias("digest"), *([F.struct("*").alias("row")] if carry else []))
     if small(terms):
         rows = rows.join(F.broadcast(terms), "digest", "left")
     else:  # a text may be that of a third of all rows: what is added to it is written for each of 16 parts

@@ -162,6 +162,14 @@ def test_disclosing_term_is_added(spark):
         assert ("Zanzibar" in words) == (r.doc_id < 4) and "plans" not in words
 
 
+def test_disclosing_terms_of_the_whole_document(spark):
+    filler = " ".join(f"filler{k}" for k in range(30))
+    texts = [f"Ann Li met Quixote here {filler} only.one@x.org {filler} said Quixote to ann"] + [f"{filler} here said to met only plain li" for _ in range(40)]
+    rows = private.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    words = {r.doc_id: [texts[r.doc_id][x.start : x.end] for x in r.added] for r in rows}
+    assert words == {0: ["Ann", "Quixote", "Quixote", "ann"]} | {k: [] for k in range(1, 41)}
+
+
 def test_quality_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in table(spark, d, "labels").collect()}
