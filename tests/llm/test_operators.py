@@ -199,6 +199,11 @@ def test_induced_sorting():
         assert induced.repeated(t, n, held=(1 << 20, 150)[k % 2]).tolist() == want  # the second holds next to nothing in memory
 
 
+def test_induced_sorting_recurses(monkeypatch):
+    monkeypatch.setattr(induced, "BASE", 4)
+    test_induced_sorting()
+
+
 @pytest.mark.parametrize("where", ["sf", "awkward"])
 def test_repeated_bytes(spark, awkward, where):
     d = SF if where == "sf" else awkward
