@@ -45,7 +45,7 @@ STAGES = [
     ("source mix", mixed),
 ]
 
-#: No SQL has the classifier's fit or XXH64; tests hold run() against a brute-force version.
+#: No SQL has the classifier's fit or XXH64; tests hold the stages against the operators, run() itself only on empty tables.
 ORACLE_SQL = None
 
 
