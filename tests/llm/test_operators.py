@@ -285,6 +285,18 @@ def test_recall_of_fuzzy_passages(spark):
     assert {frozenset((r.a, r.b)) for r in passages.linked(docs).collect()} == want
 
 
+def test_length_of_linked_passages(spark):
+    rng = np.random.default_rng(7)
+    own = lambda n: list(map(str, rng.integers(1 << 40, size=n)))
+    short, long = own(31), own(50)
+    texts = [own(30) + short + own(30), own(9) + short + own(60), own(9) + long + own(30), own(30) + long[:24] + own(3) + long[24:] + own(9)]
+    near = own(37)
+    texts += [own(30) + near + own(30), own(9) + [own(1)[0] if k in (4, 12, 18, 24, 28, 32, 35) else w for k, w in enumerate(near)] + own(60)]  # 30 of 37 words
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    keys = {r.key: r.doc_id for r in docs.select("doc_id", passages._key(docs.text).alias("key")).collect()}
+    assert {frozenset((keys[r.a], keys[r.b])) for r in passages.linked(docs).collect()} == {frozenset((2, 3))}
+
+
 def test_passage_after_its_phrases(spark):
     rng = np.random.default_rng(6)
     own = lambda n: list(map(str, rng.integers(1 << 40, size=n)))
