@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes and rows of one Arrow batch handed to a Python worker; a single longer text still comes whole.
 BATCH_BYTES, BATCH_ROWS = 2 << 20, 1000
@@ -23,9 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local one, on a local master only."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
         folder = "file://" + tempfile.mkdtemp(prefix="tarnlake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -57,6 +61,23 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: A key of more than this share of all rows is hot: there are fewer than HOT of them.
+HOT = 1000
+
+
+def hot_joined(rows: DataFrame, named: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """``rows`` joined with ``named``, which has one row a key and, in column ``n``, how many of ``rows`` hold it.
+
+    Keys that hold over one ``HOT``-th of all rows, fewer than ``HOT`` by arithmetic, are broadcast; the others
+    are joined by a shuffle in which no key is heavy. ``rows`` is read twice, so it should be a stored, thin table.
+    """
+    total = named.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) * HOT > total
+    loud, quiet = F.broadcast(named.where(hot).drop(n)), named.where(~hot).drop(n)
+    rest = rows.join(F.broadcast(named.where(hot).select(*keys)), keys, "left_anti")
+    return rows.join(loud, keys).unionByName(rest.join(quiet, keys))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Hold Arrow batches to a size that a Python worker can take next to its own state."""
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
