@@ -6,15 +6,14 @@ results are computed inside the row, or joined back on a key of everything that
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored  # noqa: F401  for the operators
+
 #: Bytes and rows of one Arrow batch handed to a Python worker; a single longer text still comes whole.
 BATCH_BYTES, BATCH_ROWS = 2 << 20, 1000
 
@@ -23,33 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local one, on a local master only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise RuntimeError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
-        folder = "file://" + tempfile.mkdtemp(prefix="tarnlake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, and any executor can be lost later."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Bytes of Parquet up to which a stored table is broadcast.
 SMALL = 4 << 20
 
 
-def small(df: DataFrame) -> bool:
+def small(df: DataFrame, most: int = SMALL) -> bool:
     """Whether a stored table may be broadcast, by the size of its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most
 
 
 def dropped(df: DataFrame) -> None:

@@ -9,8 +9,8 @@ is the number of documents in earlier blocks (a block: source, size class, 8 bit
 place in the block; no task sorts a source. A source has at most some 500 size classes x 256 blocks.
 
 Nulls: a null text has size 0; a null source is a source of its own, the last; null ids sort first.
-Empty table: no rows. Repeated rows: each is a document. Ties in the order are broken by id and size,
-and rows alike in those are alike. Other columns are carried as they are and clash with nothing.
+Empty table: no rows. Repeated rows: each is a document. Ties in the order are broken by id and size; rows alike
+in id and text are alike, and all in one block. Other columns are carried as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -64,7 +64,9 @@ def _fraction(text: Column) -> Column:
 
 def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, share=SHARE, cap=CAP, seed=SEED, carry: bool = False) -> DataFrame:
     """One row a document: ``doc_id, source, size, source_size, target, copies, taken``; with ``carry`` also ``row``, all its columns."""
-    ident = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    # of the text too: null or repeated ids don't put their documents side by side
+    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    ident = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), digest).cast("binary"))
     thin = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
@@ -97,9 +99,11 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
 
 
 def emitted(mixed: DataFrame) -> DataFrame:
-    """The mix itself: the carried row of each document, once for each copy, numbered in ``copy`` from 1."""
+    """The mix itself: the carried row of each document, once for each copy, numbered in ``copy`` (``copy_1`` and so on where the documents have that) from 1."""
     some = mixed.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("number"))
-    return some.select("row.*", F.col("number").alias("copy"))
+    names = [c.lower() for c in some.select("row.*").columns]
+    name = next(c for c in ("copy", *(f"copy_{k}" for k in range(1, len(names) + 2))) if c not in names)
+    return some.select("row.*", F.col("number").alias(name))
 
 
 def op2_mixing(spark, sf_dir):
@@ -109,7 +113,7 @@ def op2_mixing(spark, sf_dir):
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS ident
+         md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS ident
   FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (

@@ -93,15 +93,21 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64) if n else np.zeros((0, 1))
 
 
-def _best(q: np.ndarray, x: np.ndarray, least_id: np.ndarray, k: int) -> list[np.ndarray]:
-    """For each query the places of the k best, ties to the smaller id."""
+def _best(q: np.ndarray, x: np.ndarray, least_id: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the places and scores of the k best, ties to the smaller id.
+
+    The matrix product only tells what may be among them, with its rounding allowed for; scores are summed anew.
+    """
     scores = q @ x.T
+    slack = 1e-12 * np.sqrt((q**2).sum(1)) * np.sqrt((x**2).sum(1)).max(initial=0)
     out = []
-    for row in scores:
+    for n, row in enumerate(scores):
         at = np.arange(len(row))
         if len(row) > k:
-            at = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k] - 1e-9)
-        out.append(at[np.lexsort((least_id[at], -row[at]))[: k + 8]])
+            at = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k] - slack[n])
+        exact = (x[at] * q[n]).sum(1)
+        order = np.lexsort((least_id[at], -exact))[:k]
+        out.append((at[order], exact[order]))
     return out
 
 
@@ -114,16 +120,26 @@ def _placed(tree):
     return run
 
 
-def _exact(queries, k: int):
-    """The k best of each partition for each of a bounded set of queries."""
+def _exact(queries, own, k: int):
+    """The k best of each partition for each of a bounded set of queries, but for the query's own vector."""
 
     def run(batches):
+        q, me = queries.value, own.value
+        none = np.zeros(0)
+        best = [(none, none.astype(np.int64), none.astype(np.int32))] * len(q)
         for batch in batches:
-            if batch.num_rows:
-                x, ids = _matrix(batch.column("vec")), batch.column("least").to_numpy()
-                leaf = batch.column("leaf").to_numpy()
-                for n, at in enumerate(_best(queries.value, x, ids, k)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), n, np.int32)), pa.array((x[at] * queries.value[n]).sum(1)), pa.array(ids[at]), pa.array(leaf[at])], names=["n", "score", "least", "leaf"])
+            if not batch.num_rows:
+                continue
+            x, ids = _matrix(batch.column("vec")), batch.column("least").to_numpy()
+            leaf = batch.column("leaf").to_numpy()
+            for n, (at, score) in enumerate(_best(q, x, ids, k + 1)):
+                at, score = at[ids[at] != me[n]], score[ids[at] != me[n]]
+                rows = [np.concatenate(c) for c in zip(best[n], (score, ids[at], leaf[at]))]
+                order = np.lexsort((rows[1], -rows[0]))[:k]
+                best[n] = tuple(c[order] for c in rows)
+        if best:
+            number = np.repeat(np.arange(len(q), dtype=np.int32), [len(b[0]) for b in best])
+            yield pa.RecordBatch.from_arrays([pa.array(number), *(pa.array(np.concatenate(c)) for c in zip(*best))], names=["n", "score", "least", "leaf"])
 
     return run
 
@@ -155,9 +171,9 @@ def _searched(k: int):
         names, scores, places = [], [], []
         who = asked.column("name").to_pylist()
         for a in range(0, len(q), 512):
-            for n, at in enumerate(_best(q[a : a + 512], x, least, k)):
+            for n, (at, score) in enumerate(_best(q[a : a + 512], x, least, k)):
                 names += [who[a + n]] * len(at)
-                scores.append((x[at] * q[a + n]).sum(1))
+                scores.append(score)
                 places.append(at)
         ids = held.column("ids").combine_chunks().take(pa.array(np.concatenate(places)))
         return pa.table([pa.array(names, pa.string()), pa.array(np.concatenate(scores)), ids], schema=schema)
@@ -186,7 +202,7 @@ def nearest(vectors: DataFrame, id_col="vec_id", vec_col="embedding", every: int
     tree = Tree(sample.reshape(len(sample), -1) if len(sample) else np.zeros((0, 1)), min(LEAVES, max(1, total // LEAF)))
     shared = spark.sparkContext.broadcast(tree)
     placed = stored(distinct.mapInArrow(_placed(shared), "name string, vec array<double>, ids array<long>, least long, leaf int"), "leaves")
-    asked = stored(queries.select("name").distinct().join(distinct, "name").select("name", "vec"), "asked")
+    asked = stored(queries.select("name").distinct().join(distinct, "name").select("name", "vec", "least"), "asked")
 
     visits = _calibrated(spark, tree, asked, placed, k, recall)
     sizes = {r.leaf: -(-r["count"] // PART) for r in placed.groupBy("leaf").count().collect()}  # a row a leaf
@@ -209,11 +225,12 @@ def nearest(vectors: DataFrame, id_col="vec_id", vec_col="embedding", every: int
 
 def _calibrated(spark, tree: Tree, asked: DataFrame, placed: DataFrame, k: int, recall: float) -> int:
     """The least number of leaves at which the calibration queries' recall is reached."""
-    some = [r.vec for r in asked.orderBy(F.xxhash64(F.lit(9), "name"), "name").limit(CALIBRATION).collect()]
+    some = asked.orderBy(F.xxhash64(F.lit(9), "name"), "name").limit(CALIBRATION).collect()
     if not some:
         return 1
-    q = np.array(some, float)
-    exact = placed.select("vec", "least", "leaf").mapInArrow(_exact(spark.sparkContext.broadcast(q), k), "n int, score double, least long, leaf int")
+    q = np.array([r.vec for r in some], float)
+    own = spark.sparkContext.broadcast(np.array([r.least for r in some]))
+    exact = placed.select("vec", "least", "leaf").mapInArrow(_exact(spark.sparkContext.broadcast(q), own, k), "n int, score double, least long, leaf int")
     place = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("score"), "least"))
     exact = exact.withColumn("place", place).where(F.col("place") <= k).select("n", "leaf").collect()  # k rows a query
     reached = np.zeros(tree.n_leaves, int)

@@ -14,4 +14,4 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_simhash": simhash.op10_simhash,
 }
-SQL = {"op2_mixing": mixing.SQL, "op3_secrets": secrets.SQL, "op4_decontamination": decontaminate.SQL}
+SQL = {"op2_mixing": mixing.SQL, "op3_secrets": secrets.SQL, "op4_decontamination": decontaminate.SQL, "op8_private": private.SQL}

@@ -1,10 +1,11 @@
 """Operator 3: secret scans told apart by corpus-wide ownership. DataFrame functions only.
 
-Candidates are the base patterns' matches and, wider, any long run of letters, digits and ``+/_=-`` that
-has both letters and digits. Over the whole corpus a candidate value's hash is counted by distinct
-repositories (documents) and owners (sources). A value of at most ``OWNERS`` owners is live-looking, one
-of more is a copied example. Base spans always stay; a wide run is added, as kind ``live``, if it is
-live-looking.
+Candidates are the base patterns' matches and, wider, whole runs of 20 letters and digits or more that have both.
+Over the whole corpus a candidate value's hash is counted by distinct repositories (documents) and owners
+(sources). A value that more than ``OWNERS`` owners or more than ``REPOS`` repositories hold is a copied example;
+any other is owner-specific and looks live. Base spans always stay; a wide run is added, as kind ``live``, if it
+looks live and touches no base span, so that no secret is given twice by it. The counts of live and copied values
+are of different values.
 
 Positions come from the text between the matches: a match starts after the lengths of all that is before.
 Positions are code points, ends exclusive.
@@ -18,14 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import hot_joined, stored, table
 
 KINDS = ("assign", "access", "hex", "live")
-OWNERS, PARTS = 2, 16
+OWNERS, REPOS = 2, 8
 #: Patterns in Java's syntax. A run of 16 is matched as its whole run, so the least length is in the pattern;
 #: an assignment that is too short still takes its place, so its length is looked at afterwards.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS, HEX, WIDE = r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}", r"[A-Za-z0-9+/_=-]{20,}"
+ACCESS, HEX, WIDE = r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}", r"[A-Za-z0-9]{20,}"
 _CHUNK = 512
 
 
@@ -68,8 +69,8 @@ def candidates(text: Column) -> Column:
     return F.concat(assign, _matches(text, 1, ACCESS), _matches(text, 2, HEX), wide)
 
 
-def scan(docs: DataFrame, id_col="doc_id", text_col="text", owner_col="source", repo_col="doc_id", owners: int = OWNERS) -> DataFrame:
-    """``doc_id`` and ``spans`` (start, kind, end, live) of each document: base spans, and wide ones that are live-looking."""
+def scan(docs: DataFrame, id_col="doc_id", text_col="text", owner_col="source", repo_col="doc_id", owners: int = OWNERS, repos: int = REPOS) -> DataFrame:
+    """``doc_id`` and ``spans`` (start, kind, end, hash, live, n_owners, n_repos) of each document: base spans, and wide ones that look live."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -80,21 +81,24 @@ def scan(docs: DataFrame, id_col="doc_id", text_col="text", owner_col="source",
     )
     hashed = F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.md5(x["value"].cast("binary")).alias("hash")))
     rows = stored(rows.withColumn("found", hashed), "secrets")
+    none = F.array().cast("array<struct<start: int, kind: int, end: int, hash: string, live: boolean, n_owners: bigint, n_repos: bigint>>")
+    empty = rows.where(F.size("found") == 0).select("doc_id", none.alias("spans"))  # they meet nothing
     some = rows.where(F.size("found") > 0)
     seen = some.select("owner", "repo", F.explode(F.array_distinct(F.transform("found", lambda x: x["hash"]))).alias("hash"))
     by_owner = seen.distinct().groupBy("hash", "owner").agg(F.count("*").alias("n"))
     value = by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repos"))
-    # A hash may be that of a third of all texts, and a text that of a third of all rows: both joins are dealt by a part too.
-    part = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
-    value = value.select("hash", (F.col("n_owners") <= owners).alias("live"), "n_owners", "n_repos").withColumn("part", part)
-    texts = some.groupBy("digest").agg(F.first("found").alias("found"))
-    each = texts.select("digest", F.explode("found").alias("x")).select("digest", "x.*").withColumn("part", F.pmod(F.xxhash64("digest"), F.lit(PARTS)).cast("int"))
-    each = each.join(value, ["hash", "part"]).where((F.col("kind") < 3) | F.col("live"))
-    spans = each.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live", "n_owners", "n_repos"))).alias("spans"))
-    spans = spans.withColumn("part", part)
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "owner"), F.lit(PARTS)).cast("int")).drop("found", "owner", "repo")
-    none = F.array().cast("array<struct<start: int, kind: int, end: int, live: boolean, n_owners: bigint, n_repos: bigint>>")
-    return rows.join(spans, ["digest", "part"], "left").select("doc_id", F.coalesce("spans", none).alias("spans"))
+    # texts alike in every byte have the same spans
+    texts = some.groupBy("digest").agg(F.first("found").alias("found"), F.count("*").alias("copies"))
+    each = stored(texts.select("digest", "copies", F.explode("found").alias("x")).select("digest", "copies", "x.*"), "secret-places")
+    value = value.join(each.groupBy("hash").agg(F.count("*").alias("n")), "hash")
+    value = stored(value.withColumn("live", (F.col("n_owners") <= owners) & (F.col("n_repos") <= repos)), "secret-values")
+    each = hot_joined(each, value, ["hash"])
+    spans = each.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "hash", "live", "n_owners", "n_repos"))).alias("spans"), F.first("copies").alias("n"))
+    base = F.filter("spans", lambda x: x["kind"] < 3)
+    spans = spans.withColumn("base", base)
+    apart = lambda x: ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+    spans = spans.withColumn("spans", F.filter("spans", lambda x: (x["kind"] < 3) | (x["live"] & apart(x)))).drop("base")
+    return empty.unionByName(hot_joined(some.select("doc_id", "digest"), stored(spans, "secret-spans"), ["digest"]).select("doc_id", "spans"))
 
 
 def _written(spans: Column) -> Column:
@@ -105,15 +109,15 @@ def _written(spans: Column) -> Column:
 def op3_secrets(spark, sf_dir):
     rows = scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["kind"] < 3)
-    count = lambda test: F.size(F.filter("spans", test)).cast("long")
-    of_kind = lambda k: count(lambda x: x["kind"] == k)
+    of_kind = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
+    values = lambda test: F.size(F.array_distinct(F.transform(F.filter("spans", test), lambda x: x["hash"]))).cast("long")
     return rows.select(
         "doc_id",
         *(of_kind(k).alias(f"n_{KINDS[k]}") for k in range(3)),
         F.sha2(_written(base), 256).alias("base_sha256"),
         _written(F.col("spans")).alias("spans"),
-        count(lambda x: x["live"]).alias("n_live"),
-        count(lambda x: ~x["live"]).alias("n_copied"),
+        values(lambda x: x["live"]).alias("n_live"),
+        values(lambda x: ~x["live"]).alias("n_copied"),
     )
 
 
@@ -136,16 +140,17 @@ SQL = (
     + ","
     + _sql_kind("hex", r"[0-9a-f]+", 0, 16)
     + ","
-    + _sql_kind("live", r"[A-Za-z0-9+/_=-]{20,}", 0, 20, "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')")
+    + _sql_kind("live", r"[A-Za-z0-9]{20,}", 0, 20, "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')")
     + """,
 everything AS (SELECT *, 0 AS nth FROM assign UNION ALL SELECT *, 1 FROM access UNION ALL SELECT *, 2 FROM hex UNION ALL SELECT *, 3 FROM live),
-owned AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) <= 2 AS live FROM everything GROUP BY v),
-spans AS (SELECT e.*, o.live FROM everything e JOIN owned o USING (v) WHERE nth < 3 OR o.live),
+owned AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) <= 2 AND count(DISTINCT (source, doc_id)) <= 8 AS live FROM everything GROUP BY v),
+spans AS (SELECT e.*, o.live FROM everything e JOIN owned o USING (v)
+          WHERE nth < 3 OR o.live AND NOT EXISTS (SELECT 1 FROM everything b WHERE b.nth < 3 AND b.k = e.k AND b.start < e.stop AND e.start < b.stop)),
 joined AS (
   SELECT k, count(*) FILTER (nth = 0) AS n_assign, count(*) FILTER (nth = 1) AS n_access, count(*) FILTER (nth = 2) AS n_hex,
          string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, nth) FILTER (nth < 3) AS base,
          string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, nth) AS spans,
-         count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied
+         count(DISTINCT v) FILTER (live) AS n_live, count(DISTINCT v) FILTER (NOT live) AS n_copied
   FROM spans GROUP BY k)
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,

@@ -4,7 +4,8 @@ A fingerprint's 64 bits are cut into 32 segments of 2 bits; the vector of their
 embedding. The Manhattan distance of two embeddings never exceeds the Hamming distance of the
 fingerprints. The grid range join finds every pair within Manhattan distance 3: the coordinates form six
 groups, and of two such points at least three groups agree in full, so each point is put into the 20 cells
-named by three groups' coordinates. In a cell the embeddings' distance is the lower bound that prunes, and
+named by three groups' coordinates: at segments of 2 bits and distance 3 the grid's range is a step of 0, that is
+equality on half the groups. In a cell the embeddings' distance is the lower bound that prunes, and
 the fingerprints' own distance verifies. The cells only ever hold distinct fingerprints.
 
 A cell hands on, for each of its fingerprints, one link towards its component within the cell, not all
@@ -17,6 +18,7 @@ rows fall into one component and each is returned. Other columns are not read.
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 import numpy as np
@@ -25,9 +27,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, dropped, flat, small_batches, stored, table, word_spans
+from .common import LOWER, NOT_SPACE, dropped, flat, hot_joined, small, small_batches, stored, table, word_spans
 
-SHINGLE, SEED, DISTANCE, PARTS = 3, 42, 3, 16
+SHINGLE, SEED, DISTANCE = 3, 42, 3
 _SLICE = 1 << 16  # hashes whose bits are counted at once
 
 
@@ -99,17 +101,20 @@ def _manhattan(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(thermo(x) ^ thermo(y))
 
 
-def _links(prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def _links(prints: np.ndarray, distance: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For the distinct fingerprints of a cell, a forest of its components: each linked fingerprint with one root.
 
     A fingerprint is compared with those outside its component as known so far, so that a dense cell, nearly
-    all of one component, costs far less than its pairs.
+    all of one component, costs far less than its pairs. With ``own``, the blocks, only pairs of two blocks count.
     """
     n = len(prints)
     root = np.arange(n)
     points = embedded(prints)
     for k in range(n - 1):
-        rest = np.flatnonzero(root[k + 1 :] != root[k]) + k + 1
+        rest = root[k + 1 :] != root[k]
+        if own is not None:
+            rest &= own[k + 1 :] != own[k]
+        rest = np.flatnonzero(rest) + k + 1
         if not len(rest):
             continue
         rest = rest[_manhattan(points[rest], points[k]) <= distance]
@@ -122,40 +127,46 @@ def _links(prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cell_links(batches, distance: int = DISTANCE):
-    """Batches sorted by cell: the links of each cell. A cell's rows are held at once: 8 bytes a fingerprint."""
-
-    def out(cells: np.ndarray, prints: np.ndarray):
-        cut = np.concatenate(([0], np.flatnonzero(np.diff(cells)) + 1, [len(cells)]))
+    """Batches sorted by cell and pair of blocks: the links of each, held at once (two blocks at most)."""
+    names = ["cell", "x", "y", "own", "fp"]
+
+    def out(c):
+        prints = c["fp"].view(np.uint64)
+        new = np.ones(len(prints), bool)
+        new[1:] = (np.diff(c["cell"]) != 0) | (np.diff(c["x"]) != 0) | (np.diff(c["y"]) != 0)
+        cut = np.append(np.flatnonzero(new), len(prints))
         many = np.flatnonzero(np.diff(cut) > 1)
-        pairs = many[np.diff(cut)[many] == 2]
+        pairs = many[(np.diff(cut)[many] == 2) & (c["x"][cut[many]] == c["y"][cut[many]])]
         near = cut[pairs][np.bitwise_count(prints[cut[pairs]] ^ prints[cut[pairs] + 1]) <= distance]
         a, b = [prints[near + 1]], [prints[near]]
-        for k in many[np.diff(cut)[many] > 2].tolist():
-            own = prints[cut[k] : cut[k + 1]]
-            x, y = _links(own, distance)
-            a.append(own[x])
-            b.append(own[y])
+        for k in np.setdiff1d(many, pairs).tolist():
+            part = slice(cut[k], cut[k + 1])
+            x, y = _links(prints[part], distance, c["own"][part] if c["x"][cut[k]] != c["y"][cut[k]] else None)
+            a.append(prints[part][x])
+            b.append(prints[part][y])
         a, b = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[dict] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        cells, prints = batch.column("cell").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-        last = np.searchsorted(cells, cells[-1])  # the last cell may go on in the next batch
-        if not held or held[-1][0][-1] != cells[0] or last:
-            if last:
-                yield out(np.concatenate([*[x[0] for x in held], cells[:last]]), np.concatenate([*[x[1] for x in held], prints[:last]]))
-            elif held:
-                yield out(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
+        c = {x: batch.column(x).to_numpy() for x in names}
+        of_last = (c["cell"] == c["cell"][-1]) & (c["x"] == c["x"][-1]) & (c["y"] == c["y"][-1])
+        last = int(np.flatnonzero(~of_last)[-1]) + 1 if not of_last.all() else 0  # the last group may go on in the next batch
+        if held and (last or any(held[-1][x][-1] != c[x][0] for x in names[:3])) or last:
+            yield out({x: np.concatenate([*(h[x] for h in held), c[x][:last]]) for x in names})
             held = []
-        held.append((cells[last:], prints[last:]))
+        held.append({x: v[last:] for x, v in c.items()})
     if held:
-        yield out(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
+        yield out({x: np.concatenate([h[x] for h in held]) for x in names})
+
+
+#: Fingerprints of a cell that are compared in one piece; a cell of more is cut into blocks, compared pair by pair.
+BLOCK = 1 << 13
 
 
-def near(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def near(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
     """``a, b``: links among the distinct fingerprints of column ``fp`` that join what is within ``distance``."""
     if distance != DISTANCE:
         raise ValueError(f"the grid is laid for a distance of {DISTANCE}")
@@ -168,27 +179,67 @@ def near(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
         mask = sum(_mask(GROUPS[g]) for g in groups)
         cells.append(F.xxhash64(point.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)), F.lit(k)))
     rows = prints.select("fp", F.explode(F.array(*cells)).alias("cell"))
-    rows = rows.repartition("cell").sortWithinPartitions("cell", "fp").select("cell", "fp")
-    return rows.mapInArrow(_cell_links, "a long, b long")
+    # cells of more than a block: fewer than a cell for every BLOCK rows
+    dense = stored(rows.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > block).select("cell", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "dense")
+    rows = rows.join(F.broadcast(dense) if small(dense) else dense, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(F.lit(8), "fp"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("cell", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "fp")
+    return rows.repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y", "fp").mapInArrow(_cell_links, "a long, b long")
+
+
+#: Bytes of stored links up to which one task finishes them.
+FINISH = 2 << 20
+
+
+def _flat_nodes(column) -> list:
+    return list(zip(*(c.to_pylist() for c in column.flatten()))) if pa.types.is_struct(column.type) else column.to_pylist()
+
+
+def _finished(batches):
+    """The smallest node of each component of all the links given, by union and find."""
+    parent: dict = {}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for a, b in zip(_flat_nodes(batch.column(0)), _flat_nodes(batch.column(1))):
+            a, b = find(parent.setdefault(a, a)), find(parent.setdefault(b, b))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    if parent:
+        pairs = [(x, find(x)) for x in parent]
+        columns = list(zip(*[(x, y) for x, y in pairs if x != y]))
+        if pa.types.is_struct(kind):
+            columns = [[dict(zip((f.name for f in kind), x)) for x in c] for c in columns]
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in columns], names=["node", "root"])
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node, root`` for each node that has a link: the smallest node of its component, by alternating stars.
+    """``node, root`` for each node that has a smaller one in its component: the smallest, by alternating stars.
 
     Large star hands a node's larger neighbours to the smallest of its neighbourhood, small star the smaller
     ones; stars are all that is left after some log(n) rounds. Each round is a table in the shared folder.
-    Neighbourhoods are never collected: the smallest neighbour is an aggregate, joined back.
+    Neighbourhoods are never collected: the smallest neighbour is an aggregate, joined back. What is left of the
+    links is finished in one task as soon as it is a table of ``FINISH`` bytes at most.
     """
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    before = None
+    before, kind = None, edges.schema["a"].dataType.simpleString()
     while True:
+        if small(edges, FINISH):
+            return edges.coalesce(1).mapInArrow(_finished, f"node {kind}, root {kind}")
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        after = stored(small.select("e.a", "e.b").where("a <> b").distinct(), "stars")
+        star = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        after = stored(star.select("e.a", "e.b").where("a <> b").distinct(), "stars")
         state = after.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         dropped(edges)
         if state == before:
@@ -201,16 +252,14 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
     small_batches(docs.sparkSession)
     text = F.col(text_col)
     rows = stored(docs.select(F.col(id_col).alias("doc_id"), fingerprint(text).alias("fp"), _digest(text).alias("digest")), "simhash")
-    prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
+    prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "prints")
     roots = components(near(prints.select("fp")))
     # fingerprint -> root -> smallest id; everything from here on has one row a distinct fingerprint
-    rooted = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "root", "component_id")
-    # a fingerprint may be that of a third of all rows: its name is written for each of 16 parts
-    named = named.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")
-    return rows.withColumn("part", part).join(named, ["fp", "part"]).drop("part")
+    rooted = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    rooted = stored(rooted, "rooted")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    named = hot_joined(rooted.drop("least"), stored(least, "least"), ["root"], "members")
+    return hot_joined(rows, stored(named, "named"), ["fp"])
 
 
 def _digest(text: Column) -> Column:
@@ -220,13 +269,17 @@ def _digest(text: Column) -> Column:
 def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """One document of each component: that with the smallest id; among rows of that id, the first by digest, then by all columns.
 
+    Columns without an order (maps and such) don't count in that; of rows that differ in them alone any one stays.
     The choice is made on thin rows; the texts are shuffled once, to meet it by id and digest.
     """
     marked = near_duplicates(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     key = lambda ident, digest: F.concat(F.coalesce(ident.cast("string"), F.lit("")), F.lit(":"), digest)
     chosen = marked.groupBy("root").agg(F.min(key(F.col("doc_id"), F.col("digest"))).alias("key")).select("key").distinct()
+    ordered = [f"row.`{c}`" for c, t in docs.dtypes if not re.search("map<|variant|interval", t)]
     rows = docs.select(key(F.col(id_col), _digest(F.col(text_col))).alias("key"), F.struct("*").alias("row"))
-    return rows.join(chosen, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row")).select("row.*")
+    rows = rows.join(chosen, "key", "left_semi")
+    one = F.min("row") if len(ordered) == len(docs.columns) else F.min_by("row", F.struct(*ordered))
+    return rows.groupBy("key").agg(one.alias("row")).select("row.*")
 
 
 def op10_simhash(spark, sf_dir):
