@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -94,17 +95,18 @@ def test_mix_comes_near_its_targets(spark):
     assert all(abs(total[s] - t) <= 2 * most for s, (t, most) in targets.items())
 
 
+def _fp(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    h = [xxhash.xxh64_intdigest(" ".join(w[k : k + 3]).encode(), 42) for k in range(max(1, len(w) - 2))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
 @pytest.mark.parametrize("where", ["sf", "awkward"])
 def test_simhash_and_components(spark, awkward, where):
     d = SF if where == "sf" else awkward
     docs = _texts(spark, d)
 
-    def fp(text):
-        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
-        h = [xxhash.xxh64_intdigest(" ".join(w[k : k + 3]).encode(), 42) for k in range(max(1, len(w) - 2))] if w else []
-        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-    prints = np.array([fp(t) for _, t in docs], np.uint64)
+    prints = np.array([_fp(t) for _, t in docs], np.uint64)
     group = list(range(len(docs)))
     for k in range(len(docs)):
         for j in np.flatnonzero(np.bitwise_count(prints ^ prints[k]) <= 3):
@@ -188,20 +190,79 @@ def test_neighbours(spark, awkward):
         assert sum(found.values()) == sum(want.values()) and sum((found & want).values()) >= least * sum(want.values())
 
 
-def test_induced_sorting():
-    rng = np.random.default_rng(1)
-    for k in range(120):
-        t = rng.integers(0, int(rng.integers(1, 6)), int(rng.integers(1, 250))).astype(np.uint16)
+def test_neighbours_with_many_ties(spark):
+    rng = np.random.default_rng(2)
+    vecs = [(k, [1.0, 0.5, float(x)]) for k, x in enumerate(rng.permutation(400))]  # queries below see none of the third
+    vecs += [(1000 + 20 * k, [1.0, 2.0 * k, 0.0]) for k in range(3)]
+    docs = spark.createDataFrame(vecs, "vec_id long, embedding array<double>")
+    found = neighbours.nearest(docs).where("query_id >= 1000").orderBy("query_id", "rank").collect()
+    for q, v in vecs[-3:]:
+        want = sorted((-float(np.dot(v, w)), i) for i, w in vecs if i != q)[:20]
+        assert [(-r.score, r.vec_id) for r in found if r.query_id == q] == want
+
+
+def test_search_over_several_leaves(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAF", 60)
+    vecs = [(r.vec_id, np.array(r.embedding, float)) for r in table(spark, SF, "embeddings").collect()]
+    x, ids = np.array([v for _, v in vecs]), np.array([i for i, _ in vecs])
+    found: dict = {}
+    for r in neighbours.nearest(table(spark, SF, "embeddings")).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    right = []
+    for i, v in vecs:
+        if i % 20 == 0:
+            score = x @ v
+            order = np.lexsort((ids, -score))
+            right.append(len(found[i] & set(ids[order][ids[order] != i][:20].tolist())) / 20)
+    assert np.mean(right) >= 0.9
+
+
+def _repeats(t, n):
+    seen = Counter(t[i : i + n].tobytes() for i in range(len(t) - n + 1))
+    return [i + n <= len(t) and seen[t[i : i + n].tobytes()] > 1 for i in range(len(t))]
+
+
+@pytest.mark.parametrize("chunk", [1 << 17, 3, 17])
+def test_induced_sorting(monkeypatch, chunk):
+    monkeypatch.setattr(induced, "CHUNK", chunk)
+    rng = np.random.default_rng(chunk)
+    for k in range(60):
+        t = rng.integers(0, int(rng.integers(1, 6)), int(rng.integers(1, 250))).astype(np.uint8)
         t = np.concatenate([t, t[: int(rng.integers(0, 60))]])
         n = int(rng.integers(1, 12))
-        seen = Counter(t[i : i + n].tobytes() for i in range(len(t) - n + 1))
-        want = [i + n <= len(t) and seen[t[i : i + n].tobytes()] > 1 for i in range(len(t))]
-        assert induced.repeated(t, n, held=(1 << 20, 150)[k % 2]).tolist() == want  # the second holds next to nothing in memory
+        assert induced.repeated(t, n, held=(1 << 20, 150)[k % 2]).tolist() == _repeats(t, n)  # the second holds next to nothing in memory
 
 
-def test_induced_sorting_recurses(monkeypatch):
+@pytest.mark.parametrize("chunk", [1 << 17, 5])
+def test_induced_sorting_recurses(monkeypatch, chunk):
+    deep = []
+    sort = induced._sorted_names
     monkeypatch.setattr(induced, "BASE", 4)
-    test_induced_sorting()
+    monkeypatch.setattr(induced, "_sorted_names", lambda *a: deep.append(len(a[0])) or sort(*a))
+    test_induced_sorting(monkeypatch, chunk)
+    assert len(deep) > 50
+
+
+def test_a_shard_beyond_its_memory(monkeypatch):
+    spilled = []
+    pushed = induced.Queue.push
+    monkeypatch.setattr(induced.Queue, "push", lambda self, *a: (pushed(self, *a), spilled.append(self.spilled))[0])
+    rng = np.random.default_rng(8)
+    words = [rng.integers(97, 123, int(rng.integers(2, 9))).astype(np.uint8) for _ in range(3000)]
+    t = np.concatenate([np.append(words[int(k)], np.uint8(33)) for k in rng.integers(0, 3000, 60_000)])
+    t = np.concatenate([t, t[5000:9000], t[200_000:201_000], np.zeros(1, np.uint8)])
+    assert induced.repeated(t, 60, held=1 << 16).tolist() == _repeats(t, 60)
+    assert max(spilled) > len(t)  # most of it went by way of the disk
+
+
+def test_heavy_anchors(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, 6)))
+    passage = " ".join(word() for _ in range(60))
+    texts = [" ".join(word() for _ in range(k % 7)) + passage + " ".join(word() for _ in range(20 + k % 3)) for k in range(40)] + [passage[:150] + word() * 40, "é" * 300]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = [sorted(map(repr, suffixes.removed(docs, heavy=most).select("text", "spans").collect())) for most in (1 << 20, 2000)]
+    assert found[0] == found[1]
 
 
 @pytest.mark.parametrize("where", ["sf", "awkward"])
@@ -359,26 +420,89 @@ def test_length_of_linked_passages(spark):
     assert _classes(spark, texts) == {frozenset({2, 3})}
 
 
-def test_pipeline_stages_do_what_they_say(spark):
-    docs, columns = table(spark, SF, "documents"), table(spark, SF, "documents").columns
-    bench = table(spark, SF, "benchmark")
-    kept = docs
+def _sql(query, **tables):
+    c = duckdb.connect()
+    for name, rows in tables.items():
+        c.register(name, rows)
+    return c.execute(query).fetch_arrow_table().to_pylist()
+
+
+@pytest.mark.parametrize("where", ["sf", "awkward"])
+def test_pipeline_against_brute_force(spark, awkward, where, tmp_path):
+    """Each stage by plain Python or SQL on what the one before kept, and run() by all of them."""
+    d = SF if where == "sf" else awkward
+    names = table(spark, d, "documents").columns
+    now = table(spark, d, "documents").toArrow()
+    bench, labels = (table(spark, d, t).toArrow() for t in ("benchmark", "labels"))
     for name, stage in corpus_pipeline.STAGES:
-        before, kept = kept, spark.createDataFrame(stage(spark, kept, SF).collect(), kept.schema if name != "source mix" else None) if name != "source mix" else stage(spark, kept, SF)
-        ids = {r.doc_id for r in before.collect()}
-        assert {r.doc_id for r in kept.collect()} <= ids
-        if name != "source mix":
-            assert kept.columns == columns
-        if name == "near duplicates":
-            marked = simhash.near_duplicates(before).collect()
-            assert {r.doc_id for r in kept.collect()} == {r.component_id for r in marked}
-        if name == "benchmark decontamination":
-            hit = {r.doc_id for r in decontaminate.scanned(before, bench).where("size(hit.hit_words) > 0").select("row.doc_id").collect()}
-            assert {r.doc_id for r in kept.collect()} == ids - hit
-        if name == "personal data":
-            assert not any(private.base(r.text) for r in kept.collect())
-    mixed, plan = Counter(r.doc_id for r in kept.collect()), {r.doc_id: r.copies for r in mixing.mix(before).collect()}
-    assert all(mixed[i] == n for i, n in plan.items())
+        spark.createDataFrame(now).write.parquet(path := f"{tmp_path}/{name}")
+        after = stage(spark, spark.read.parquet(path), d)
+        rows, kept = now.to_pylist(), after.toArrow()
+        whole = lambda rows: Counter(repr([r[c] for c in names]) for r in rows)
+        if name == "quality classifier":
+            x = quality.features(pa.array([r["text"] for r in rows], pa.string()))
+            known: dict = {}
+            for r in labels.to_pylist():
+                if r["doc_id"] is not None and r["quality"] in (0, 1) and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+                    known.setdefault(r["doc_id"], []).append(r["quality"])
+            pairs = [(k, y) for k, r in enumerate(rows) for y in known.get(r["doc_id"], ())]
+            order = spark.createDataFrame([(rows[k]["doc_id"], y, x[k].tolist(), k) for k, y in pairs], "doc_id long, label int, x array<double>, k int")
+            order = [r.k for r in order.selectExpr(f"xxhash64({quality.SEED}, doc_id) as h", "*").orderBy("h", "doc_id", "label", "x").collect()]
+            good = dict(pairs)
+            m = quality.Model(x[order], np.array([good[k] == 1 for k in order], bool))
+            raw = (x - m.mean) / m.scale @ m.weights - m.cut
+            want = [r for r, v in zip(rows, raw) if v >= 0]
+        elif name == "near duplicates":
+            prints, group = np.array([_fp(r["text"] or "") for r in rows], np.uint64), list(range(len(rows)))
+            for k in range(len(rows)):
+                for j in np.flatnonzero(np.bitwise_count(prints ^ prints[k]) <= 3):
+                    x, y = group[k], group[j]
+                    group = [min(x, y) if g in (x, y) else g for g in group]
+            want = []
+            for g in set(group):
+                own = [r for r, x in zip(rows, group) if x == g]
+                least = min((r["doc_id"] for r in own if r["doc_id"] is not None), default=None)
+                want.append(min((r for r in own if r["doc_id"] == least), key=lambda r: hashlib.md5((r["text"] or "").encode()).hexdigest()))
+        elif name == "benchmark decontamination":
+            hit = _sql(decontaminate.SQL, documents=now.set_column(0, "doc_id", pa.array(range(len(rows)))), benchmark=bench)
+            want = [rows[h["doc_id"]] for h in hit if not h["contaminated"]]
+        elif name == "personal data":
+            found, want = _sql(private.SQL, documents=now.set_column(0, "doc_id", pa.array(range(len(rows))))), []
+            for h in found:
+                text, out, end = rows[h["doc_id"]]["text"], "", 0
+                for at, kind, stop in sorted((int(s.split(":")[1]), (*private.KINDS, "term").index(s.split(":")[0]), int(s.split(":")[2])) for s in filter(None, h["spans"].split(","))):
+                    out += text[end:at] + f"[{(*private.KINDS, 'term')[kind].upper()}]" if at >= end else ""
+                    end = max(end, stop)
+                want.append(rows[h["doc_id"]] | {"text": out + text[end:] if text else text})
+        else:
+            copies = Counter()
+            for m in _sql(mixing.SQL, documents=now):
+                copies[m["doc_id"]] += m["copies"]
+            assert Counter(r["doc_id"] for r in kept.to_pylist()) == +copies
+            assert {*kept.column_names} == {*names, "copy"} if "copy" not in names else {*names, "copy_1"}
+            assert whole(kept.to_pylist()).keys() <= whole(rows).keys()
+            continue
+        assert kept.column_names == names
+        assert whole(kept.to_pylist()) == whole(want), name
+        now = kept
+    final = Counter((r["doc_id"], r["text"]) for r in kept.to_pylist())
+    assert Counter((r.doc_id, r.text) for r in corpus_pipeline.run(spark, d).collect()) == final
+
+
+def test_clashing_columns_and_maps(spark):
+    made = "doc_id, text, 'en' as lang, source, 1 as copy, 2 as _clean, 3 as _kept, 4 as key, 5 as row, 6 as digest, 7 as hit, 8 as fp, 9 as root, 10 as every, map('a', doc_id) as m, 11 as k1, 12 as copy_1"
+    docs = table(spark, SF, "documents").limit(60).selectExpr(*_columns(made))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        extra = [c for c in out.columns if c not in docs.columns]
+        assert out.count() > 0 and extra == (["copy_2"] if name == "source mix" else []), name
+    spans = decontaminate.decontaminated(docs, table(spark, SF, "benchmark"), remove="spans")
+    assert spans.columns == docs.columns and spans.count() == docs.count()
+
+
+def _columns(text):
+    """The list's entries, by commas outside of brackets."""
+    return [x.strip() for x in re.split(r",\s*(?![^()]*\))", text)]
 
 
 def test_spans_are_cut_out(spark):
@@ -400,6 +524,19 @@ def test_a_benchmark_beyond_the_broadcast(spark, awkward):
             assert kept[0] == kept[1]
 
 
+def test_copied_and_live_secrets(spark):
+    example, own, both = "Ab3dEfGh1jKlMn0pQrSt", "zZ9yY8xX7wW6vV5uU4tT", "0123456789abcdef01234567"
+    rows = [(k, f"the key {example} is an example, {'token=' + both if k < 2 else ''} end", f"owner{k % 5}") for k in range(20)]
+    rows += [(100, f"mine is {own} and again {own}", "owner1"), (101, f"a/b1/{'k' * 30}/d2 {'x' * 40} {'1' * 10}", "owner1")]
+    rows += [(200 + k, "one source says Qw3rTy7uIoPaSdFgHjKl often", "owner9") for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r.doc_id: r.spans for r in secrets.scan(docs).collect()}
+    values = lambda k: [(x.kind, dict((i, t) for i, t, _ in rows)[k][x.start : x.end], x.live) for x in found[k]]
+    assert values(5) == [] and values(101) == [] and values(205) == []  # many owners; no such run; many repositories of one owner
+    assert values(100) == [(3, own, True), (3, own, True)]
+    assert values(0) == [(0, "token=" + both, True), (2, both, True)]  # the wide run over both adds nothing
+
+
 def test_many_secrets_in_one_text(spark):
     text = " ".join(f"{k:020x}" for k in range(1500))
     rows = secrets.scan(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).collect()
