@@ -15,6 +15,17 @@ def missing(c: Column) -> Column:
     return c.isNull() | F.lower(F.trim(c.cast("string"))).isin("", "null", "none", "nan")
 
 
+def require(df: DataFrame, names: list[str], table: str) -> None:
+    """Fails where the table lacks any of the columns."""
+    if lacking := [n for n in names if n not in df.columns]:
+        raise ValueError(f"{table} is missing required columns: {lacking}")
+
+
+def present(df: DataFrame, names: list[str]) -> DataFrame:
+    """The listed columns that the table has, in the list's order."""
+    return df.select(*(n for n in names if n in df.columns))
+
+
 def first_present(df: DataFrame, *names: str) -> str:
     for name in names:
         if name in df.columns:
@@ -31,9 +42,10 @@ def record_hash(df: DataFrame) -> Column:
     return key_of(*(F.col(c) for c in df.columns if c not in TECHNICAL))
 
 
-def instant(c: Column) -> Column:
-    """A timestamp in either of the two formats, else null."""
-    return F.coalesce(F.try_to_timestamp(c, F.lit("yyyy-MM-dd HH:mm:ss")), F.try_to_timestamp(c, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS")))
+def instant(c: Column, loose: bool = False) -> Column:
+    """A timestamp in either of the two formats, else null; with ``loose`` also in any that Spark reads by itself."""
+    formats = [F.try_to_timestamp(c, F.lit(x)) for x in ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS")]
+    return F.coalesce(*formats, *([F.try_to_timestamp(c)] if loose else []))
 
 
 def title(c: Column) -> Column:

@@ -37,7 +37,7 @@ def products(df: DataFrame) -> DataFrame:
 
 
 def orders(df: DataFrame) -> DataFrame:
-    df = _each(_each(_trimmed(df), F.upper, "order_status"), instant, "order_date")
+    df = _each(_each(_trimmed(df), F.upper, "order_status"), lambda c: instant(c, loose=True), "order_date")
     day = F.to_date("order_date")
     return _with(df, order_day=day, order_year=F.year(day), order_month=F.month(day), order_quarter=F.quarter(day))
 
@@ -53,7 +53,7 @@ def order_items(df: DataFrame) -> DataFrame:
 def payments(df: DataFrame) -> DataFrame:
     df = _each(_trimmed(df), F.upper, "payment_status")
     df = _each(df, lambda c: F.initcap(F.regexp_replace(F.lower(c), "_", " ")), "payment_method")
-    df = _each(_money(df, "payment_amount", "refund_amount"), instant, "payment_date")
+    df = _each(_money(df, "payment_amount", "refund_amount"), lambda c: instant(c, loose=True), "payment_date")
     return _with(df, payment_day=F.to_date("payment_date"))
 
 

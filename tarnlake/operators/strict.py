@@ -30,8 +30,20 @@ RULES = {
     "customers": [("INVALID_EMAIL", "email"), ("INVALID_VALUE", "customer_segment"), ("INVALID_OR_FUTURE_DATE", "signup_date")],
     "products": [("INVALID_VALUE", "category"), ("INVALID_NUMERIC_VALUE", "price"), ("INVALID_NUMERIC_VALUE", "stock_quantity")],
     "orders": [("INVALID_VALUE", "order_status"), ("INVALID_OR_FUTURE_DATE", "order_date"), ("INVALID_FOREIGN_KEY", "customer_id")],
-    "order_items": [("INVALID_FOREIGN_KEY", "order_id"), ("INVALID_FOREIGN_KEY", "product_id"), ("INVALID_NUMERIC_VALUE", "quantity"), ("INVALID_NUMERIC_VALUE", "unit_price"), ("OUT_OF_RANGE", "discount_percentage")],
-    "payments": [("INVALID_FOREIGN_KEY", "order_id"), ("INVALID_VALUE", "payment_method"), ("INVALID_VALUE", "payment_status"), ("INVALID_NUMERIC_VALUE", "payment_amount"), ("INVALID_OR_FUTURE_DATE", "payment_date")],
+    "order_items": [
+        ("INVALID_FOREIGN_KEY", "order_id"),
+        ("INVALID_FOREIGN_KEY", "product_id"),
+        ("INVALID_NUMERIC_VALUE", "quantity"),
+        ("INVALID_NUMERIC_VALUE", "unit_price"),
+        ("OUT_OF_RANGE", "discount_percentage"),
+    ],
+    "payments": [
+        ("INVALID_FOREIGN_KEY", "order_id"),
+        ("INVALID_VALUE", "payment_method"),
+        ("INVALID_VALUE", "payment_status"),
+        ("INVALID_NUMERIC_VALUE", "payment_amount"),
+        ("INVALID_OR_FUTURE_DATE", "payment_date"),
+    ],
 }
 PARENTS = {"customer_id": "customers", "order_id": "orders", "product_id": "products"}
 
@@ -88,6 +100,12 @@ def audit(checked: dict[str, DataFrame]) -> DataFrame:
     for name, rows in checked.items():
         good = F.count_if(F.col("rejection_reason") == "")
         rate = F.coalesce(F.round(F.try_divide(good * 100.0, F.count("*")), 2), F.lit(0)).cast("double")
-        one = rows.agg(F.lit(name).alias("dataset_name"), F.count("*").alias("input_record_count"), good.alias("valid_record_count"), (F.count("*") - good).alias("invalid_record_count"), rate.alias("validation_success_rate"))
+        one = rows.agg(
+            F.lit(name).alias("dataset_name"),
+            F.count("*").alias("input_record_count"),
+            good.alias("valid_record_count"),
+            (F.count("*") - good).alias("invalid_record_count"),
+            rate.alias("validation_success_rate"),
+        )
         out = one if out is None else out.unionByName(one)
     return out

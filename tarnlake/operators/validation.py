@@ -9,15 +9,31 @@ from ..functions.columns import instant, missing
 
 # Fixed values.
 KEYS = {"customers": "customer_id", "products": "product_id", "orders": "order_id", "order_items": "order_item_id", "payments": "payment_id"}
-REQUIRED = {"customers": ["customer_id"], "products": ["product_id"], "orders": ["order_id", "customer_id"], "order_items": ["order_item_id", "order_id", "product_id"], "payments": ["payment_id", "order_id"]}
-TIMES = {"customers": ["validation_timestamp"], "products": ["validation_timestamp"], "orders": ["order_date", "validation_timestamp"], "order_items": ["validation_timestamp"], "payments": ["payment_date", "validation_timestamp"]}
+REQUIRED = {
+    "customers": ["customer_id"],
+    "products": ["product_id"],
+    "orders": ["order_id", "customer_id"],
+    "order_items": ["order_item_id", "order_id", "product_id"],
+    "payments": ["payment_id", "order_id"],
+}
+TIMES = {
+    "customers": ["validation_timestamp"],
+    "products": ["validation_timestamp"],
+    "orders": ["order_date", "validation_timestamp"],
+    "order_items": ["validation_timestamp"],
+    "payments": ["payment_date", "validation_timestamp"],
+}
 ALLOWED = {
     "order_status": ["Pending", "Confirmed", "Shipped", "Delivered", "Cancelled", "Returned"],
     "payment_status": ["Pending", "Success", "Completed", "Failed", "Refunded"],
     "payment_method": ["Credit Card", "Debit Card", "UPI", "Net Banking", "Cash on Delivery", "Wallet"],
 }
 EMAIL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
-PARENTS = {"orders": [("customer_id", "customers", "CUSTOMER_NOT_FOUND")], "order_items": [("order_id", "orders", "ORDER_NOT_FOUND"), ("product_id", "products", "PRODUCT_NOT_FOUND")], "payments": [("order_id", "orders", "ORDER_NOT_FOUND")]}
+PARENTS = {
+    "orders": [("customer_id", "customers", "CUSTOMER_NOT_FOUND")],
+    "order_items": [("order_id", "orders", "ORDER_NOT_FOUND"), ("product_id", "products", "PRODUCT_NOT_FOUND")],
+    "payments": [("order_id", "orders", "ORDER_NOT_FOUND")],
+}
 
 
 def _rules(name: str, df: DataFrame) -> list[tuple[Column, str]]:
@@ -48,7 +64,10 @@ def validated(name: str, tables: dict[str, DataFrame], rejected_orders: DataFram
     n = F.count(key).over(Window.partitionBy(key))  # a null key counts none
     rows = df.withColumn("_n_key", n)
     rules = _rules(name, df)
-    lookups = [(x, tables[parent].select(F.col(KEYS[parent]).alias("_id")).where(~missing(F.col("_id"))), code) for x, parent, code in PARENTS.get(name, ()) if parent in tables]
+    lookups = [
+        (x, tables[parent].select(F.col(KEYS[parent]).alias("_id")).where(~missing(F.col("_id"))), code)
+        for x, parent, code in PARENTS.get(name, ()) if parent in tables
+    ]
     for k, (column, ids, code) in enumerate(lookups):
         found = ids.distinct().select(F.col("_id").alias(f"_p{k}"), F.lit(True).alias(f"_f{k}"))
         rows = rows.join(found, F.col(column) == F.col(f"_p{k}"), "left")
@@ -60,7 +79,9 @@ def validated(name: str, tables: dict[str, DataFrame], rejected_orders: DataFram
     errors = F.array_compact(F.array(*(F.when(test, F.lit(code)) for test, code in rules)))
     rows = rows.withColumn("_validation_errors", errors)
     status = F.when(F.size("_validation_errors") == 0, "VALID").otherwise("INVALID")
-    return rows.withColumns({"_validation_status": status, "_validation_reason": F.concat_ws("; ", "_validation_errors")}).select(*df.columns, "_validation_errors", "_validation_status", "_validation_reason")
+    return rows.withColumns(
+        {"_validation_status": status, "_validation_reason": F.concat_ws("; ", "_validation_errors")}
+    ).select(*df.columns, "_validation_errors", "_validation_status", "_validation_reason")
 
 
 def everything(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -82,15 +103,26 @@ def report(checked: dict[str, DataFrame]) -> DataFrame:
     for name, rows in checked.items():
         total = rows.agg(F.count("*").alias("total"))
         each = rows.select(F.explode("_validation_errors").alias("rule")).groupBy("rule").agg(F.count("*").alias("failed"))
-        each = each.crossJoin(total).select(F.lit(name).alias("dataset"), "rule", "failed", F.round(F.col("failed") * 100.0 / F.col("total"), 2).cast("double").alias("percent"))
+        each = each.crossJoin(total).select(
+            F.lit(name).alias("dataset"),
+            "rule",
+            "failed",
+            F.round(F.col("failed") * 100.0 / F.col("total"), 2).cast("double").alias("percent"),
+        )
         out = each if out is None else out.unionByName(each)
-    return out
+    return out.orderBy("dataset", F.desc("failed"), "rule") if out is not None else None
 
 
 def summary(checked: dict[str, DataFrame]) -> DataFrame:
     out = None
     for name, rows in checked.items():
         bad = F.count_if(F.col("_validation_status") == "INVALID")
-        each = rows.agg(F.lit(name).alias("dataset"), F.count("*").alias("total"), (F.count("*") - bad).alias("valid"), bad.alias("invalid"), F.when(bad == 0, "SUCCESS").otherwise("COMPLETED_WITH_INVALID_RECORDS").alias("status"))
+        each = rows.agg(
+            F.lit(name).alias("dataset"),
+            F.count("*").alias("total"),
+            (F.count("*") - bad).alias("valid"),
+            bad.alias("invalid"),
+            F.when(bad == 0, "SUCCESS").otherwise("COMPLETED_WITH_INVALID_RECORDS").alias("status"),
+        )
         out = each if out is None else out.unionByName(each)
     return out

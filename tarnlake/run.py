@@ -51,6 +51,8 @@ class Run:
         for n in NAMES:
             rows = files.read_csv(self.spark, f"{self.source}/{n}.csv", StructType.fromDDL(SCHEMAS[n]))
             self.write(files.bronze(rows, self.batch, [validation.KEYS[n]]), "bronze", n)
+            if (came := rows.count()) != (kept := self.read("bronze", n).count()):
+                raise ValueError(f"{n}: the source has {came} rows, {kept} were written")
 
     def validation(self) -> None:
         checked = validation.everything({n: self.read("bronze", n) for n in NAMES})
@@ -61,6 +63,7 @@ class Run:
             self.write(bad, "quarantine", n)
         stored = {n: self.read("checked", n) for n in NAMES}
         files.write_audit(validation.report(stored), files.layer_path(self.root, "audit", self.batch, "rules"))
+        files.write_audit(validation.report(stored), files.layer_path(self.root, "audit", self.batch, "rules_csv"), "csv")
         files.write_audit(validation.summary(stored), files.layer_path(self.root, "audit", self.batch, "validation"))
 
     def changes(self) -> None:
@@ -78,14 +81,27 @@ class Run:
 
     def silver(self) -> None:
         for n in NAMES:
-            typed, key = self._typed(n), [validation.KEYS[n]]
-            self.write(changes.merged(self.read("silver", n, self.previous), typed, key) if self.previous else typed.drop("change_type"), "silver", n)
+            key = [validation.KEYS[n]]
+            self.write(self._typed(n), "typed", n)
+            typed, changed = self.read("typed", n), self.read("changes", n)
+            if (came := changed.count()) != (kept := typed.count()):
+                raise ValueError(f"{n}: {came} rows to be typed, {kept} came out")
+            if not self.previous:
+                self.write(typed.drop("change_type"), "silver", n)
+                continue
+            previous = self.read("silver", n, self.previous)
+            self.write(changes.merged(previous, typed, key), "silver", n)
+            changes.merged_soundly(previous, changed, self.read("silver", n), key)
 
     def history(self) -> None:
         for n in DIMENSIONS:
             key = [validation.KEYS[n]]
-            out = history.advanced(self.read("history", n, self.previous), self._typed(n), self.batch, key) if self.previous else history.begun(self.read("silver", n), self.batch)
-            self.write(out, "history", n)
+            if self.previous:
+                old, typed = self.read("history", n, self.previous), self.read("typed", n)
+                self.write(history.advanced(old, typed, self.batch, key), "history", n)
+                history.assembled(old, typed, self.read("history", n))
+            else:
+                self.write(history.begun(self.read("silver", n), self.batch), "history", n)
             bad = history.sound(self.read("history", n), key).first()
             if any(bad):
                 raise ValueError(f"history of {n}: {bad}")
@@ -97,16 +113,21 @@ class Run:
         self.write(star.enriched_items(self.read("silver", "order_items"), orders, self.read("history", "products")), "enriched", "order_items")
         self.write(star.enriched_payments(self.read("silver", "payments"), orders), "enriched", "payments")
         for n, keys in (("orders", ["customer_sk"]), ("order_items", ["product_sk", "order_sk"]), ("payments", ["order_sk"])):
-            if lost := history.unmatched(self.read("enriched", n), *keys):
-                raise ValueError(f"{lost} {n} without a version at their date")
+            history.enriched_soundly(self.read("enriched", n), self.read("silver", n), validation.KEYS[n], keys)
 
     def gold(self) -> None:
         e = {n: self.read("enriched", n) for n in ("orders", "order_items", "payments")}
-        made = {"dim_customer": star.dim_customer(self.read("history", "customers")), "dim_product": star.dim_product(self.read("history", "products")), "dim_date": star.dim_date(e["orders"].select("order_day"), e["payments"].select("payment_day")), "fact_sales": star.fact_sales(e["order_items"], e["orders"]), "fact_payment": star.fact_payment(e["payments"], e["orders"])}
-        keys = {"dim_customer": "customer_sk", "dim_product": "product_sk", "dim_date": "date_key", "fact_sales": "sales_sk", "fact_payment": "payment_sk"}
+        made = {
+            "dim_customer": star.dim_customer(self.read("history", "customers")),
+            "dim_product": star.dim_product(self.read("history", "products")),
+            "dim_date": star.dim_date(e["orders"].select("order_day"), e["payments"].select("payment_day")),
+            "fact_sales": star.fact_sales(e["order_items"], e["orders"]),
+            "fact_payment": star.fact_payment(e["payments"], e["orders"]),
+        }
+        stamp = {"_gold_batch_date": F.to_date(F.lit(self.batch)), "_gold_processed_at": F.current_timestamp()}
         for n, df in made.items():
-            self.write(df.withColumns({"_gold_batch_date": F.to_date(F.lit(self.batch)), "_gold_processed_at": F.current_timestamp()}), "gold", n)
-            star.gated(self.read("gold", n), keys[n], [keys[n]])
+            self.write(df.withColumns(stamp), "gold", n)
+            star.gated(self.read("gold", n), star.REQUIRED[n][0], star.REQUIRED[n])
 
     def quality(self) -> None:
         t = {n: self.read("gold", n) for n in ("dim_customer", "dim_product", "dim_date", "fact_sales", "fact_payment")}
@@ -120,7 +141,13 @@ class Run:
     def marts(self) -> None:
         t = {n: self.read("gold", n) for n in ("dim_customer", "dim_product", "fact_sales", "fact_payment")}
         s, p = t["fact_sales"], t["fact_payment"]
-        made = {"daily_sales_summary": marts.daily_sales(s), "product_performance": marts.product_performance(s, t["dim_product"]), "customer_performance": marts.customer_performance(s, t["dim_customer"]), "payment_summary": marts.payment_summary(p), "executive_kpis": marts.executive(s, p).withColumn("batch_date", F.to_date(F.lit(self.batch)))}
+        made = {
+            "daily_sales_summary": marts.daily_sales(s),
+            "product_performance": marts.product_performance(s, t["dim_product"]),
+            "customer_performance": marts.customer_performance(s, t["dim_customer"]),
+            "payment_summary": marts.payment_summary(p),
+            "executive_kpis": marts.executive(s, p).withColumn("batch_date", F.to_date(F.lit(self.batch))),
+        }
         for n, df in made.items():
             self.write(df, "marts", n)
 
@@ -128,18 +155,56 @@ class Run:
 STAGES = ("bronze", "validation", "changes", "silver", "history", "facts", "gold", "quality", "marts")
 
 
-def cause(error: BaseException) -> str:
-    """The innermost cause's first line."""
-    text = str(error)
-    inner = re.findall(r"Caused by: ([^\n]+)", text)
-    return (inner[-1] if inner else text.split("\n")[0])[:500]
+# What a failure's text tells.
+
+#: Errors that only carry another one: the bridge to the JVM, a failed process, Spark's words for a failed read.
+_WRAPPING = re.compile("Py4JJavaError|CalledProcessError|SystemExit|ExecutionError|MALFORMED_RECORD_IN_PARSING|FAILED_READ_FILE")
+_EXCEPTION = re.compile(r"([A-Za-z_][\w.]*(?:Error|Exception))\s*:\s*(.*)")
+_SAYS_ERROR = re.compile(r"Caused by:|[\w.]*(?:Error|Exception)\b[:\s]|.*\bERROR\b")
+_TASK_LOG = re.compile(r"\d\d/\d\d/\d\d \S+ ERROR (?:FileFormatWriter|Executor|TaskSetManager|Utils):")
+
+
+def failure(lines: list[str]) -> dict:
+    """Of a failure's lines: the last exception's type and message, the root error, and the lines that tell of errors.
+
+    The root error is the innermost cause that doesn't wrap another; without one, the first exception that doesn't.
+    """
+    here = os.getcwd()
+    lines = [re.sub(r"\S*/site-packages/", "site-packages/", x.replace(f"file://{here}/", "").replace(f"{here}/", "")).strip() for x in lines]
+    exceptions = [m for m in map(_EXCEPTION.match, lines) if m]
+    key_lines = list(dict.fromkeys(x[:400] for x in lines if _SAYS_ERROR.match(x) and not _TASK_LOG.match(x)))
+    plain = [x for x in key_lines if not _WRAPPING.search(x)]
+    causes = [x.removeprefix("Caused by:").strip() for x in plain if x.startswith("Caused by:")]
+    first = [x for x in plain if _EXCEPTION.match(x)]
+    kind, message = exceptions[-1].groups() if exceptions else (None, None)
+    root = causes[-1] if causes else first[0] if first else message
+    return {
+        "error_type": kind,
+        "error_message": (message or "")[:800] or None,
+        "root_error": (root or "")[:400] or None,
+        "key_error_lines": key_lines[-10:],
+    }
+
+
+def cause(error: BaseException) -> dict:
+    """What :func:`failure` finds in an exception."""
+    found = failure([f"{type(error).__name__}: {error}".split("\n")[0], *str(error).split("\n")])
+    return {"cause": found["root_error"] or str(error).split("\n")[0][:400], "key_lines": found["key_error_lines"]}
 
 
 def run(spark: SparkSession, root, source: str | None, batch: str, start: str = STAGES[0], end: str = STAGES[-1], monitoring: bool = True) -> dict:
     """Runs the stages from ``start`` to ``end``; stops at the first that fails. Returns the log, which is written in either case."""
     now = time.time()
     started = time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime(now))
-    log = {"run_id": f"run-{batch}-{int(now * 1000)}", "batch_date": batch, "started_at": started, "start_from": start, "triggered_by": os.environ.get("PIPELINE_TRIGGERED_BY", "manual"), "stages": [], "status": "SUCCESS"}
+    log = {
+        "run_id": f"run-{batch}-{int(now * 1000)}",
+        "batch_date": batch,
+        "started_at": started,
+        "start_from": start,
+        "triggered_by": os.environ.get("PIPELINE_TRIGGERED_BY", "manual"),
+        "stages": [],
+        "status": "SUCCESS",
+    }
     job = Run(spark, root, source, batch)
     for name in STAGES[STAGES.index(start) : STAGES.index(end) + 1]:
         began, entry = time.time(), {"stage": name, "status": "SUCCESS"}
@@ -147,7 +212,7 @@ def run(spark: SparkSession, root, source: str | None, batch: str, start: str =
         try:
             getattr(job, name)()
         except Exception as e:
-            entry |= {"status": "FAILED", "cause": cause(e)}
+            entry |= {"status": "FAILED", **cause(e)}
             log["status"] = "FAILED"
         entry["seconds"] = round(time.time() - began, 1)
         if log["status"] == "FAILED":
@@ -156,7 +221,10 @@ def run(spark: SparkSession, root, source: str | None, batch: str, start: str =
     if log["status"] == "SUCCESS" and end == STAGES[-1]:
         files.commit(spark, root, batch)
     if monitoring:
-        kept = spark.createDataFrame([(log["run_id"], batch, log["status"], started, json.dumps(log))], "run_id string, batch_date string, status string, started_at string, log string")
+        kept = spark.createDataFrame(
+            [(log["run_id"], batch, log["status"], started, json.dumps(log))],
+            "run_id string, batch_date string, status string, started_at string, log string",
+        )
         files.write_audit(kept, files.layer_path(root, "audit", batch, f"runs/{log['run_id']}"))
     return log
 
@@ -174,7 +242,14 @@ def ingest(spark: SparkSession, root, source: str, pattern: str, batch: str | No
     for n in waiting:
         files.advance(manifest, n, "PROCESSING")
     files.save_manifest(manifest, manifest_path)
-    log = run(spark, root, source, batch, "bronze", "validation")
+    try:
+        staged = files.stage_snapshot(spark, root, source, batch, NAMES, waiting)
+    except Exception:
+        for n in waiting:
+            files.advance(manifest, n, "FAILED")
+        files.save_manifest(manifest, manifest_path)
+        raise
+    log = run(spark, root, staged, batch, "bronze", "validation")
     for n in waiting:
         files.advance(manifest, n, "PROCESSED" if log["status"] == "SUCCESS" else "FAILED")
     files.save_manifest(manifest, manifest_path)
@@ -186,7 +261,11 @@ def snapshot(spark: SparkSession, root, source: str, batch: str) -> dict:
     from pyspark.sql.types import StructType
 
     facts = {n: found.source_facts(spark, f"{source}/{n}.csv", StructType.fromDDL(SCHEMAS[n]), validation.KEYS[n]) for n in NAMES}
-    return {"batch_date": batch, "source_files": facts, "layers": found.layers_present(spark, root, batch, ("bronze", "valid", "changes", "silver", "history", "enriched", "gold", "marts"))}
+    return {
+        "batch_date": batch,
+        "source_files": facts,
+        "layers": found.layers_present(spark, root, batch, ("bronze", "valid", "changes", "silver", "history", "enriched", "gold", "marts")),
+    }
 
 
 def strict_batch(spark: SparkSession, root, source: str, batch: str) -> None:
@@ -226,8 +305,13 @@ def main(argv: list[str] | None = None) -> int:
     if a.command in ("generate", "simulate", "dirty"):
         from pyspark.sql.types import StructType
 
-        day = generate.clean(spark, seed=a.seed) if a.command == "generate" else {n: files.read_csv(spark, f"{a.source}/{n}.csv", StructType.fromDDL(SCHEMAS[n])) for n in NAMES}
-        generate.write(generate.next_day(day, a.batch_date, a.seed) if a.command == "simulate" else generate.dirty(day, a.seed) if a.command == "dirty" else day, a.target)
+        day = generate.clean(spark, seed=a.seed) if a.command == "generate" else {
+            n: files.read_csv(spark, f"{a.source}/{n}.csv", StructType.fromDDL(SCHEMAS[n])) for n in NAMES
+        }
+        generate.write(
+            generate.next_day(day, a.batch_date, a.seed) if a.command == "simulate" else generate.dirty(day, a.seed) if a.command == "dirty" else day,
+            a.target,
+        )
         return 0
     if a.command == "ingest":
         log = ingest(spark, root, a.source, a.file_pattern, a.batch_date, a.manifest, a.scan_only)

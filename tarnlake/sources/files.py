@@ -49,6 +49,33 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def stage_snapshot(spark: SparkSession, root: str | Storage, source: str, batch: str, names: tuple[str, ...], waiting: list[str]) -> str:
+    """Copies the whole source snapshot into the batch's incoming folder; nothing stays there unless all of it does.
+
+    All datasets are staged even if one file changed, since validation looks across them. The folder's manifest
+    tells what was copied and which files asked for it.
+    """
+    conf = spark._jsc.hadoopConfiguration()
+    folder = f"{layer_root(root, 'incoming')}/batch_date={batch}"
+    target, to = _path(spark, folder)
+    to.delete(target, True)
+    copied = []
+    try:
+        for name in names:
+            file, fs = _path(spark, f"{source.rstrip('/')}/{name}.csv")
+            if not fs.exists(file) or not fs.getFileStatus(file).isFile():
+                raise FileNotFoundError(f"{source}/{name}.csv")
+            copy, _ = _path(spark, f"{folder}/{name}.csv")
+            spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, file, to, copy, False, conf)
+            copied.append({"dataset": name, "bytes": to.getFileStatus(copy).getLen()})
+        about = spark.createDataFrame([(batch, json.dumps(waiting), json.dumps(copied))], "batch_date string, triggered_by string, files string")
+        write_audit(about, f"{folder}/_manifest")
+    except Exception:
+        to.delete(target, True)
+        raise
+    return folder
+
+
 def read_layer(spark: SparkSession, root: str | Storage, layer: str, batch: str, dataset: str) -> DataFrame:
     path = layer_path(root, layer, batch, dataset)
     if not exists(spark, path):
@@ -60,6 +87,14 @@ def write_layer(df: DataFrame, root: str | Storage, layer: str, batch: str, data
     df.write.mode("overwrite").parquet(layer_path(root, layer, batch, dataset))
 
 
+def read_audit(spark: SparkSession, path: str, kind: str = "json", limit: int = 200) -> list[dict]:
+    """The first rows of a report that :func:`write_audit` wrote; none where it isn't there."""
+    if not exists(spark, path):
+        return []
+    rows = spark.read.json(path) if kind == "json" else spark.read.option("header", True).csv(path)
+    return [r.asDict(recursive=True) for r in rows.limit(limit).collect()]
+
+
 def write_audit(df: DataFrame, path: str, kind: str = "json") -> None:
     """A small report as one file."""
     one = df.coalesce(1).write.mode("overwrite")
@@ -81,7 +116,9 @@ def previous_batch(spark: SparkSession, root: str | Storage, batch: str) -> str
 
 def bronze(df: DataFrame, batch: str, keys: list[str], gate: bool = True) -> DataFrame:
     """Technical columns; with ``gate`` a null or repeated primary key fails the batch."""
-    out = df.withColumn("record_hash", record_hash(df)).withColumns({"batch_date": F.to_date(F.lit(batch)), "source_file": F.input_file_name(), "ingestion_timestamp": F.current_timestamp()})
+    out = df.withColumn("record_hash", record_hash(df)).withColumns(
+        {"batch_date": F.to_date(F.lit(batch)), "source_file": F.input_file_name(), "ingestion_timestamp": F.current_timestamp()}
+    )
     if gate:
         groups = df.groupBy(*keys).agg(F.count("*").alias("n"))
         null = F.lit(False)

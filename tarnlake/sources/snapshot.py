@@ -33,7 +33,8 @@ def source_facts(spark: SparkSession, path: str, schema: StructType, key: str) -
     as_text = StructType()
     for c in header:
         as_text.add(c, "string")
-    rows = spark.read.schema(as_text.add("_corrupt", "string")).option("header", True).option("columnNameOfCorruptRecord", "_corrupt").option("columnPruning", False).csv(path)
+    rows = spark.read.schema(as_text.add("_corrupt", "string")).option("header", True).option("columnNameOfCorruptRecord", "_corrupt").option("columnPruning",
+        False).csv(path)
     rows = rows.select(F.struct(*rows.columns).alias("r"))
     numbers = [f for f in schema.fields if isinstance(f.dataType, NumericType) and f.name in header]
     measures = [F.count("*").alias("rows"), F.count("r._corrupt").alias("ragged")]
@@ -44,10 +45,20 @@ def source_facts(spark: SparkSession, path: str, schema: StructType, key: str) -
         bad = F.when((c != "") & c.try_cast(f.dataType).isNull(), c)
         measures += [F.count(bad).alias(f"bad{k}"), F.min(bad).alias(f"low{k}"), F.max(bad).alias(f"high{k}")]
     found = rows.agg(*measures).first().asDict()
-    unfit = [{"column": f.name, "expected_type": f.dataType.typeName(), "rows": found[f"bad{k}"], "examples": sorted({found[f"low{k}"], found[f"high{k}"]})} for k, f in enumerate(numbers) if found[f"bad{k}"]]
+    unfit = [
+        {
+            "column": f.name,
+            "expected_type": f.dataType.typeName(),
+            "rows": found[f"bad{k}"],
+            "examples": sorted({found[f"low{k}"], found[f"high{k}"]}),
+        }
+        for k, f in enumerate(numbers) if found[f"bad{k}"]
+    ]
     return {
-        "exists": True, "size_bytes": size, "ends_with_newline": whole, "rows_excluding_header": found["rows"], "rows_with_wrong_column_count": found["ragged"],
-        "received_columns": header, "added_columns": [c for c in header if c not in wanted], "missing_columns": [c for c in wanted if c not in header],
+        "exists": True, "size_bytes": size, "ends_with_newline": whole, "rows_excluding_header": found["rows"], "rows_with_wrong_column_count":
+            found["ragged"],
+        "received_columns": header, "added_columns": [c for c in header if c not in wanted], "missing_columns": [c for c in wanted
+            if c not in header],
         "primary_key": key, "duplicate_primary_keys": found.get("repeated"), "values_not_matching_schema_type": unfit,
     }
 
@@ -63,4 +74,6 @@ def layers_present(spark: SparkSession, root, batch: str, layers: tuple[str, ...
 
 def run_index(spark: SparkSession, root) -> DataFrame:
     """A row for each run of any batch: its log and when it began."""
-    return spark.read.schema("run_id string, batch_date string, status string, started_at string, log string").json(f"{layer_root(root, 'audit')}/batch_date=*/runs/*").orderBy("started_at")
+    return spark.read.schema(
+        "run_id string, batch_date string, status string, started_at string, log string"
+    ).json(f"{layer_root(root, 'audit')}/batch_date=*/runs/*").orderBy("started_at")

@@ -28,7 +28,18 @@ LAYERS = {
     "analytics_audit": ("audit", "analytics"),
 }
 #: What the batch run calls its layers beside those.
-OWN = {"checked": ("bronze", "checked"), "valid": ("bronze", "valid"), "quarantine": ("bronze", "quarantine"), "changes": ("silver", "changes"), "history": ("silver", "history"), "enriched": ("silver", "enriched"), "marts": ("analytics", "marts"), "audit": ("audit", "run"), "committed": ("audit", "committed"), "stream": ("bronze", "stream")}
+OWN = {
+    "checked": ("bronze", "checked"),
+    "valid": ("bronze", "valid"),
+    "quarantine": ("bronze", "quarantine"),
+    "changes": ("silver", "changes"),
+    "history": ("silver", "history"),
+    "enriched": ("silver", "enriched"),
+    "marts": ("analytics", "marts"),
+    "audit": ("audit", "run"),
+    "committed": ("audit", "committed"),
+    "stream": ("bronze", "stream"),
+}
 CONTAINERS = ("landing", "bronze", "silver", "gold", "analytics", "audit")
 
 
@@ -55,7 +66,12 @@ class Storage:
     @classmethod
     def from_env(cls, env: Mapping[str, str] = os.environ) -> Storage:
         own = {c: env.get(f"ADLS_{c.upper()}_CONTAINER", c).strip() for c in CONTAINERS}
-        return cls(env.get("STORAGE_MODE", "local").strip().lower(), env.get("LOCAL_DATA_ROOT", "data").strip(), env.get("ADLS_STORAGE_ACCOUNT", "").strip(), own)
+        return cls(
+            env.get("STORAGE_MODE", "local").strip().lower(),
+            env.get("LOCAL_DATA_ROOT", "data").strip(),
+            env.get("ADLS_STORAGE_ACCOUNT", "").strip(),
+            own,
+        )
 
     def path(self, layer: str, *parts: str | Path | None) -> str:
         places = LAYERS | OWN

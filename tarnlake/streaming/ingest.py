@@ -20,7 +20,15 @@ def newest(rows: DataFrame, keys: list[str], arrived: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*own), order).alias("_row")).select("_row.*")
 
 
-def follow(spark: SparkSession, source: str, schema: StructType, keys: list[str], root, dataset: str, accept: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> str | None:
+def follow(
+    spark: SparkSession,
+    source: str,
+    schema: StructType,
+    keys: list[str],
+    root,
+    dataset: str,
+    accept: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+) -> str | None:
     """Takes all files of ``source`` not yet taken (the checkpoint knows which) and stops; returns the latest version's path.
 
     Each micro-batch passes ``accept`` (validation, say), is compared with the version before, and is written as
@@ -39,7 +47,10 @@ def follow(spark: SparkSession, source: str, schema: StructType, keys: list[str]
         out.write.mode("overwrite").parquet(path)
         last.append(path)
 
-    stream = spark.readStream.schema(schema).option("header", True).option("mode", "FAILFAST").csv(source).select("*", F.col("_metadata.file_modification_time").alias("_arrived"))
+    stream = spark.readStream.schema(schema).option("header", True).option("mode", "FAILFAST").csv(source).select(
+        "*",
+        F.col("_metadata.file_modification_time").alias("_arrived"),
+    )
     query = stream.writeStream.foreachBatch(land).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return last[-1] if last else None

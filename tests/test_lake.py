@@ -50,7 +50,7 @@ def test_changes_keep_null_values_and_previous_rows(spark):
 def test_as_of_at_the_edges_of_an_interval(spark):
     h = spark.sql("select * from values ('k', date'2020-01-01', date'2020-01-31', false, 1), ('k', date'2020-02-10', cast(null as date), true, 2) as t(k, effective_from, effective_to, is_current, record_version)")
     f = spark.sql("select * from values (1, 'k', date'2020-01-31'), (2, 'k', date'2020-02-10'), (3, 'k', date'2020-02-01'), (4, 'k', date'2019-12-31') as t(id, k, day)")
-    found = {r.id: r.sk for r in history.as_of(f, h, "k", "day", "id", "sk").collect()}
+    found = {r.id: r.sk for r in history.as_of(f, h, "k", "day", "sk").collect()}
     assert found[1] and found[2] and found[1] != found[2] and found[3] is None and found[4] is None
 
 
