@@ -45,7 +45,7 @@ STAGES = [
     ("source mix", mixed),
 ]
 
-#: No SQL has the classifier's fit or XXH64; tests hold the stages against the operators, run() itself only on empty tables.
+#: No SQL has the classifier's fit or XXH64; tests hold each stage, and run() by them, against plain Python and SQL.
 ORACLE_SQL = None
 
 
