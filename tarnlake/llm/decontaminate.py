@@ -101,7 +101,9 @@ def _placed(data, offsets, starts, ends, first, found: list, items: list) -> lis
     return out
 
 
-_KIND = pa.struct([("n_words", pa.int64()), *((x, pa.list_(pa.int32())) for x in ("hit_words", "hit_from", "hit_to")), ("items", pa.list_(pa.string()))])
+_KIND = pa.struct(
+    [("n_words", pa.int64()), *((x, pa.list_(pa.int32())) for x in ("hit_words", "hit_from", "hit_to")), ("items", pa.list_(pa.string()))]
+)
 
 
 def _broadcast_hits(docs: DataFrame, items: DataFrame, n: int, text_col: str) -> DataFrame:
@@ -119,7 +121,10 @@ def _windows(n: int, sizes=None, bits=None):
 
     def run(batches):
         for batch in batches:
-            names, one = np.unique(np.array(batch.column(0).to_pylist(), object).astype(str), return_index=True) if bits is not None else (None, np.arange(batch.num_rows))
+            names, one = np.unique(
+                np.array(batch.column(0).to_pylist(), object).astype(str),
+                return_index=True,
+            ) if bits is not None else (None, np.arange(batch.num_rows))
             batch = batch.take(pa.array(np.sort(one)))  # copies of a text count once
             data, offsets = flat(batch.column(1))
             data = LOWER[data]
@@ -138,8 +143,19 @@ def _windows(n: int, sizes=None, bits=None):
                 if bits is not None:
                     keep &= (bits.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
                 at = np.flatnonzero(keep)
-                grams = [b" ".join(raw[a:b] for a, b in zip(starts[j : j + size].tolist(), ends[j : j + size].tolist())).decode() for j in at.tolist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[at])), pa.array((at - first[owner[at]]).astype(np.int32)), pa.array(np.full(len(at), size, np.int32)), pa.array(grams, pa.string()), pa.array(place[at])], names=["name", "at", "size", "gram", "place"])
+                grams = [
+                    b" ".join(raw[a:b] for a, b in zip(starts[j : j + size].tolist(), ends[j : j + size].tolist())).decode() for j in at.tolist()
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(owner[at])),
+                        pa.array((at - first[owner[at]]).astype(np.int32)),
+                        pa.array(np.full(len(at), size, np.int32)),
+                        pa.array(grams, pa.string()),
+                        pa.array(place[at]),
+                    ],
+                    names=["name", "at", "size", "gram", "place"],
+                )
 
     return run
 
@@ -173,7 +189,15 @@ def _joined_hits(docs: DataFrame, items: DataFrame, n: int, text_col: str) -> Da
     return rows.select("row", place(F.col(f"row.`{text_col}`"), "windows", "items").alias("hit"))
 
 
-def scanned(docs: DataFrame, items: DataFrame, n: int = WINDOW, text_col="text", id_col="item_id", item_col="text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def scanned(
+    docs: DataFrame,
+    items: DataFrame,
+    n: int = WINDOW,
+    text_col="text",
+    id_col="item_id",
+    item_col="text",
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
     """``row`` (a document's columns) and ``hit``: its words, the hit ones (start, length), where they stand in characters, and the items."""
     small_batches(docs.sparkSession)
     items = items.select(F.col(id_col).cast("string").alias("item"), F.col(item_col).alias("text")).where("text is not null")
@@ -208,8 +232,10 @@ def op4_decontamination(spark, sf_dir):
 
 
 SQL = r"""
-WITH docs AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-items AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+WITH docs AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
 sized AS (SELECT item_id, w, least(10, len(w)) AS n FROM items WHERE len(w) > 0),
 windows AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, j, j + n - 1), ' ') AS g
             FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS j FROM sized)),
@@ -217,7 +243,8 @@ grams AS (SELECT k, j, n, array_to_string(list_slice(w, j, j + n - 1), ' ') AS g
           FROM (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS j FROM docs, (SELECT DISTINCT n FROM sized) WHERE len(w) >= n)),
 found AS (SELECT k, j, g.n, item_id FROM grams g JOIN windows USING (n, g)),
 words AS (SELECT k, count(DISTINCT x) AS n_hit FROM (SELECT k, unnest(range(j, j + n)) AS x FROM found) GROUP BY k),
-named AS (SELECT k, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT k, item_id FROM found WHERE item_id IS NOT NULL) GROUP BY k)
+named AS (SELECT k, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT k, item_id FROM
+    found WHERE item_id IS NOT NULL) GROUP BY k)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN words USING (k) LEFT JOIN named USING (k)

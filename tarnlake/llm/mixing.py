@@ -62,7 +62,17 @@ def _fraction(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, share=SHARE, cap=CAP, seed=SEED, carry: bool = False) -> DataFrame:
+def mix(
+    docs: DataFrame,
+    id_col="doc_id",
+    text_col="text",
+    source_col="source",
+    weights=WEIGHTS,
+    share=SHARE,
+    cap=CAP,
+    seed=SEED,
+    carry: bool = False,
+) -> DataFrame:
     """One row a document: ``doc_id, source, size, source_size, target, copies, taken``; with ``carry`` also ``row``, all its columns."""
     # of the text too: null or repeated ids don't put their documents side by side
     digest = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
@@ -99,7 +109,8 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
 
 
 def emitted(mixed: DataFrame) -> DataFrame:
-    """The mix itself: the carried row of each document, once for each copy, numbered in ``copy`` (``copy_1`` and so on where the documents have that) from 1."""
+    """The mix itself: the carried row of each document, once for each copy, numbered in ``copy`` (``copy_1`` and so on where
+        the documents have that) from 1."""
     some = mixed.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("number"))
     names = [c.lower() for c in some.select("row.*").columns]
     name = next(c for c in ("copy", *(f"copy_{k}" for k in range(1, len(names) + 2))) if c not in names)

@@ -139,7 +139,10 @@ def _exact(queries, own, k: int):
                 best[n] = tuple(c[order] for c in rows)
         if best:
             number = np.repeat(np.arange(len(q), dtype=np.int32), [len(b[0]) for b in best])
-            yield pa.RecordBatch.from_arrays([pa.array(number), *(pa.array(np.concatenate(c)) for c in zip(*best))], names=["n", "score", "least", "leaf"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(number), *(pa.array(np.concatenate(c)) for c in zip(*best))],
+                names=["n", "score", "least", "leaf"],
+            )
 
     return run
 
@@ -156,7 +159,15 @@ def _asked(tree, most: int, parts):
                         rows.append(r)
                         leaf.append(x)
                         part.append(p)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(part, pa.int32()), batch.column("name").take(pa.array(rows, pa.int64())), batch.column("vec").take(pa.array(rows, pa.int64()))], names=["leaf", "part", "name", "vec"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(leaf, pa.int32()),
+                    pa.array(part, pa.int32()),
+                    batch.column("name").take(pa.array(rows, pa.int64())),
+                    batch.column("vec").take(pa.array(rows, pa.int64())),
+                ],
+                names=["leaf", "part", "name", "vec"],
+            )
 
     return run
 
@@ -193,7 +204,10 @@ def nearest(vectors: DataFrame, id_col="vec_id", vec_col="embedding", every: int
     # -0.0 and 0.0 are one value: adding 0.0 makes them so
     rows = rows.withColumn("name", F.md5(F.concat_ws(",", F.transform("vec", lambda v: (v + F.lit(0.0)).cast("string"))).cast("binary")))
     first = F.row_number().over(Window.partitionBy("name").orderBy("vec_id"))  # limited before the shuffle already
-    distinct = rows.withColumn("nth", first).where(F.col("nth") <= k + 1).groupBy("name").agg(F.first("vec").alias("vec"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    distinct = rows.withColumn("nth", first).where(F.col("nth") <= k + 1).groupBy("name").agg(
+        F.first("vec").alias("vec"),
+        F.array_sort(F.collect_list("vec_id")).alias("ids"),
+    )
     distinct = stored(distinct.withColumn("least", F.get("ids", F.lit(0))), "vectors")
     queries = rows.where(F.col("vec_id") % every == 0).select("name", F.col("vec_id").alias("query_id"))
 
@@ -207,10 +221,16 @@ def nearest(vectors: DataFrame, id_col="vec_id", vec_col="embedding", every: int
     visits = _calibrated(spark, tree, asked, placed, k, recall)
     sizes = {r.leaf: -(-r["count"] // PART) for r in placed.groupBy("leaf").count().collect()}  # a row a leaf
     parts = spark.sparkContext.broadcast(sizes)
-    n_parts = F.coalesce(F.get(F.array(*(F.lit(sizes.get(x, 1)) for x in range(tree.n_leaves))), F.col("leaf")), F.lit(1)) if max(sizes.values(), default=1) > 1 else F.lit(1)
+    n_parts = F.coalesce(
+        F.get(F.array(*(F.lit(sizes.get(x, 1)) for x in range(tree.n_leaves))), F.col("leaf")),
+        F.lit(1),
+    ) if max(sizes.values(), default=1) > 1 else F.lit(1)
     held = placed.withColumn("part", F.pmod(F.xxhash64("name"), n_parts).cast("int"))
     wide = asked.mapInArrow(_asked(shared, visits, parts), "leaf int, part int, name string, vec array<double>")
-    found = wide.groupBy("leaf", "part").cogroup(held.groupBy("leaf", "part")).applyInArrow(_searched(k + 1), "name string, score double, ids array<long>")
+    found = wide.groupBy("leaf", "part").cogroup(held.groupBy("leaf", "part")).applyInArrow(
+        _searched(k + 1),
+        "name string, score double, ids array<long>",
+    )
     found = found.select("name", "score", F.explode("ids").alias("vec_id"))
     place = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "vec_id"))
     best = found.withColumn("place", place).where(F.col("place") <= k + 1)
@@ -230,7 +250,10 @@ def _calibrated(spark, tree: Tree, asked: DataFrame, placed: DataFrame, k: int,
         return 1
     q = np.array([r.vec for r in some], float)
     own = spark.sparkContext.broadcast(np.array([r.least for r in some]))
-    exact = placed.select("vec", "least", "leaf").mapInArrow(_exact(spark.sparkContext.broadcast(q), own, k), "n int, score double, least long, leaf int")
+    exact = placed.select("vec", "least", "leaf").mapInArrow(
+        _exact(spark.sparkContext.broadcast(q), own, k),
+        "n int, score double, least long, leaf int",
+    )
     place = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("score"), "least"))
     exact = exact.withColumn("place", place).where(F.col("place") <= k).select("n", "leaf").collect()  # k rows a query
     reached = np.zeros(tree.n_leaves, int)

@@ -157,7 +157,12 @@ def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame:
     bound = lambda n: F.pow("all_docs", F.lit(1 - DISCLOSURE)) * F.pow(n, F.lit(DISCLOSURE)) * 1.000001
     terms = stored(terms.where(F.col("n_t") <= bound("most")).select("digest", "term", "n_t", "all_docs"), "rare-terms")
     pairs = stored(terms.join(each, "digest").where(F.col("n_t") <= bound("n_e")), "term-pairs")
-    n_te = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"), F.first("all_docs").alias("all_docs"))
+    n_te = pairs.groupBy("entity", "term").agg(
+        F.sum("copies").alias("n_te"),
+        F.first("n_e").alias("n_e"),
+        F.first("n_t").alias("n_t"),
+        F.first("all_docs").alias("all_docs"),
+    )
     information = F.log(F.col("all_docs") / F.col("n_e"))
     pmi = F.log(F.col("all_docs") * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     reveal = n_te.where((information > 0) & (pmi >= DISCLOSURE * information)).select("entity", "term")
@@ -176,17 +181,33 @@ def _scanned(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     """
     small_batches(docs.sparkSession)
     text = F.col(text_col)
-    rows = stored(docs.select(F.col(id_col).alias("doc_id"), _digest(text).alias("digest"), F.arrow_udf(_base, _SPAN_DDL)(text).alias("base")), "base-spans")
+    rows = stored(
+        docs.select(F.col(id_col).alias("doc_id"), _digest(text).alias("digest"), F.arrow_udf(_base, _SPAN_DDL)(text).alias("base")),
+        "base-spans",
+    )
     held = stored(rows.where(F.size("base") > 0).groupBy("digest").agg(F.count("*").alias("copies"), F.first("base").alias("base")), "private")
     names = held.select("digest")
     texts = docs.select(_digest(text).alias("digest"), text.alias("text")).join(F.broadcast(names) if small(held) else names, "digest", "left_semi")
     texts = texts.groupBy("digest").agg(F.first("text").alias("text")).join(held, "digest")
-    found = stored(texts.select("digest", "copies", F.arrow_udf(_terms, _TERMS_DDL)("text", "base").alias("f")).select("digest", "copies", "f.*"), "private-terms")
+    found = stored(
+        texts.select("digest", "copies", F.arrow_udf(_terms, _TERMS_DDL)("text", "base").alias("f")).select("digest", "copies", "f.*"),
+        "private-terms",
+    )
     places = found.select("digest", F.explode(F.arrays_zip("terms", "starts", "ends")).alias("x"))
-    places = places.select("digest", F.col("x.terms").alias("term"), F.struct(F.lit(len(KINDS)).alias("kind"), F.col("x.starts").alias("start"), F.col("x.ends").alias("end")).alias("span"))
-    added = places.join(disclosing(found, docs.select(text)), ["digest", "term"]).groupBy("digest").agg(F.array_sort(F.collect_set("span")).alias("added"))
+    places = places.select(
+        "digest",
+        F.col("x.terms").alias("term"),
+        F.struct(F.lit(len(KINDS)).alias("kind"), F.col("x.starts").alias("start"), F.col("x.ends").alias("end")).alias("span"),
+    )
+    added = places.join(
+        disclosing(found, docs.select(text)),
+        ["digest", "term"],
+    ).groupBy("digest").agg(F.array_sort(F.collect_set("span")).alias("added"))
     none = F.array().cast(_SPAN_DDL)
-    return rows, stored(held.join(added, "digest", "left").select("digest", "base", F.coalesce("added", none).alias("added"), F.col("copies").alias("n")), "spans")
+    return rows, stored(
+        held.join(added, "digest", "left").select("digest", "base", F.coalesce("added", none).alias("added"), F.col("copies").alias("n")),
+        "spans",
+    )
 
 
 def spans(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
@@ -194,7 +215,9 @@ def spans(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     rows, found = _scanned(docs, id_col, text_col)
     none = F.array().cast(_SPAN_DDL)
     clean = rows.where(F.size("base") == 0).select("doc_id", none.alias("base"), none.alias("added"))
-    return clean.unionByName(hot_joined(rows.where(F.size("base") > 0).select("doc_id", "digest"), found, ["digest"]).select("doc_id", "base", "added"))
+    return clean.unionByName(
+        hot_joined(rows.where(F.size("base") > 0).select("doc_id", "digest"), found, ["digest"]).select("doc_id", "base", "added")
+    )
 
 
 def written(found: Column, kinds=(*KINDS, "term")) -> Column:
@@ -233,7 +256,12 @@ def op8_private(spark, sf_dir):
     rows = spans(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
     by_kind = F.array_sort(F.concat("base", "added"))  # kind as listed, then start
-    return rows.select("doc_id", *(count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)), F.sha2(written(F.array_sort("base")), 256).alias("base_sha256"), written(by_kind).alias("spans"))
+    return rows.select(
+        "doc_id",
+        *(count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)),
+        F.sha2(written(F.array_sort("base")), 256).alias("base_sha256"),
+        written(by_kind).alias("spans"),
+    )
 
 
 def _sql_matches(name: str, kind: int, pattern: str, test: str) -> str:
@@ -242,8 +270,10 @@ def _sql_matches(name: str, kind: int, pattern: str, test: str) -> str:
 {name} AS (
   SELECT k, {kind} AS kind, start, start + length(v) AS stop, v FROM (
     SELECT k, unnest(m) AS v,
-           unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0)))::BIGINT AS start
-    FROM (SELECT k, regexp_extract_all(text, $p${pattern}$p$) AS m, string_split_regex(text, $p${pattern}$p$) AS gaps FROM docs WHERE regexp_matches(text, $p${pattern}$p$)))
+           unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1],
+               lambda x: length(x))), 0)))::BIGINT AS start
+    FROM (SELECT k, regexp_extract_all(text, $p${pattern}$p$) AS m, string_split_regex(text, $p${pattern}$p$) AS gaps FROM docs
+        WHERE regexp_matches(text, $p${pattern}$p$)))
   WHERE {test})"""
 
 
@@ -261,13 +291,16 @@ SQL = (
     + r""",
 base AS (SELECT * FROM email UNION ALL SELECT * FROM ip UNION ALL SELECT * FROM card UNION ALL SELECT * FROM phone),
 lowered AS (SELECT k, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM docs),
-counted AS (SELECT term, count(*) AS n_t FROM (SELECT DISTINCT k, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM lowered) GROUP BY term),
+counted AS (SELECT term, count(*) AS n_t FROM (SELECT DISTINCT k, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))
+    AS term FROM lowered) GROUP BY term),
 cut AS (
   SELECT k, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS m, string_split_regex(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS gaps
   FROM lowered WHERE k IN (SELECT k FROM base)),
-stepped AS (SELECT k, unnest(m) AS term, unnest(range(1, len(m) + 1)) AS i, unnest(list_transform(range(1, len(m) + 1), lambda i: length(gaps[i])))::BIGINT AS gap FROM cut),
+stepped AS (SELECT k, unnest(m) AS term, unnest(range(1, len(m) + 1)) AS i, unnest(list_transform(range(1, len(m) + 1), lambda
+    i: length(gaps[i])))::BIGINT AS gap FROM cut),
 placed AS (SELECT k, term, (sum(gap + length(term)) OVER (PARTITION BY k ORDER BY i) - length(term))::BIGINT AS start FROM stepped),
-free AS (SELECT p.* FROM placed p WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.k = p.k AND b.start < p.start + length(p.term) AND p.start < b.stop)),
+free AS (SELECT p.* FROM placed p WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.k = p.k AND b.start < p.start + length(p.term)
+    AND p.start < b.stop)),
 held AS (SELECT DISTINCT k, v AS entity FROM base),
 n_e AS (SELECT entity, count(*) AS n_e FROM held GROUP BY entity),
 n_te AS (SELECT entity, term, count(*) AS n_te FROM held JOIN (SELECT DISTINCT k, term FROM free) USING (k) GROUP BY entity, term),
@@ -275,12 +308,15 @@ reveal AS (
   SELECT entity, term FROM n_te JOIN n_e USING (entity) JOIN counted USING (term), (SELECT count(*) AS n FROM docs)
   WHERE n > n_e AND ln(n * n_te / (n_t * n_e)) >= 0.9::DOUBLE * ln(n / n_e)),
 added AS (SELECT DISTINCT f.k, 4 AS kind, f.start, f.start + length(f.term) AS stop FROM free f JOIN held USING (k) JOIN reveal USING (entity, term)),
-named AS (SELECT k, kind, start, stop, ['email', 'ip', 'card', 'phone', 'term'][kind + 1] || ':' || start || ':' || stop AS w FROM (SELECT k, kind, start, stop FROM base UNION ALL SELECT * FROM added)),
+named AS (SELECT k, kind, start, stop, ['email', 'ip', 'card', 'phone', 'term'][kind + 1] || ':' || start || ':' || stop AS w
+    FROM (SELECT k, kind, start, stop FROM base UNION ALL SELECT * FROM added)),
 joined AS (
-  SELECT k, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card, count(*) FILTER (kind = 3) AS n_phone,
+  SELECT k, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card, count(*)
+      FILTER (kind = 3) AS n_phone,
          string_agg(w, ',' ORDER BY kind, start) FILTER (kind < 4) AS base, string_agg(w, ',' ORDER BY kind, start) AS spans
   FROM named GROUP BY k)
-SELECT doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip, coalesce(n_card, 0)::BIGINT AS n_card, coalesce(n_phone, 0)::BIGINT AS n_phone,
+SELECT doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip, coalesce(n_card, 0)::BIGINT AS n_card,
+    coalesce(n_phone, 0)::BIGINT AS n_phone,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM docs LEFT JOIN joined USING (k)
 """

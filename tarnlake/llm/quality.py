@@ -57,7 +57,12 @@ def features(texts: pa.Array) -> np.ndarray:
         cols.append(share(kind[data]))
     lengths = (ends - starts).astype(float)
     mean = of_words(lengths)
-    cols += [np.minimum(mean, 40) / 10, np.log1p(words) / 10, of_words(upper[starts]), of_words(~(((data[ends - 1] | 0x20) >= 97) & ((data[ends - 1] | 0x20) <= 122) | (data[ends - 1] >= 0x80)))]
+    cols += [
+        np.minimum(mean, 40) / 10,
+        np.log1p(words) / 10,
+        of_words(upper[starts]),
+        of_words(~(((data[ends - 1] | 0x20) >= 97) & ((data[ends - 1] | 0x20) <= 122) | (data[ends - 1] >= 0x80))),
+    ]
     hashes = word_hashes(LOWER[data], starts, ends)
     again = np.zeros(len(hashes), bool)
     again[1:] = hashes[1:] == hashes[:-1]
@@ -133,7 +138,9 @@ def _x(text: Column) -> Column:
 
 def fitted(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", sample: int = SAMPLE) -> Model:
     """The model; ``sample`` labels at most are broadcast, and as many rows at most come to the driver."""
-    known = labels.select(F.col("doc_id"), F.col(label_col).alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = labels.select(F.col("doc_id"), F.col(label_col).alias("label")).where(
+        F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
+    )
     known = known.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id", "label").limit(sample)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id")
     rows = rows.select("doc_id", "label", _x(F.col("text")).alias("x"))

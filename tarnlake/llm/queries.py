@@ -14,4 +14,10 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_simhash": simhash.op10_simhash,
 }
-SQL = {"op2_mixing": mixing.SQL, "op3_secrets": secrets.SQL, "op4_decontamination": decontaminate.SQL, "op7_suffixes": suffixes.SQL, "op8_private": private.SQL}
+SQL = {
+    "op2_mixing": mixing.SQL,
+    "op3_secrets": secrets.SQL,
+    "op4_decontamination": decontaminate.SQL,
+    "op7_suffixes": suffixes.SQL,
+    "op8_private": private.SQL,
+}

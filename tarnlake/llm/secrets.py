@@ -54,7 +54,12 @@ def _matches(text: Column, kind: int, pattern: str, group: int = 0) -> Column:
     steps = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.length(F.get(gaps, k)) + F.when(k > 0, F.length(F.get(whole, k - 1))).otherwise(0))
     found = F.transform(
         F.arrays_zip(_running(steps).alias("start"), whole.alias("whole"), value.alias("value")),
-        lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), (x["start"] + F.length(x["whole"])).alias("end"), x["value"].alias("value")),
+        lambda x: F.struct(
+            x["start"].alias("start"),
+            F.lit(kind).alias("kind"),
+            (x["start"] + F.length(x["whole"])).alias("end"),
+            x["value"].alias("value"),
+        ),
     )
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(found_type))
 
@@ -69,7 +74,15 @@ def candidates(text: Column) -> Column:
     return F.concat(assign, _matches(text, 1, ACCESS), _matches(text, 2, HEX), wide)
 
 
-def scan(docs: DataFrame, id_col="doc_id", text_col="text", owner_col="source", repo_col="doc_id", owners: int = OWNERS, repos: int = REPOS) -> DataFrame:
+def scan(
+    docs: DataFrame,
+    id_col="doc_id",
+    text_col="text",
+    owner_col="source",
+    repo_col="doc_id",
+    owners: int = OWNERS,
+    repos: int = REPOS,
+) -> DataFrame:
     """``doc_id`` and ``spans`` (start, kind, end, hash, live, n_owners, n_repos) of each document: base spans, and wide ones that look live."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
@@ -79,7 +92,10 @@ def scan(docs: DataFrame, id_col="doc_id", text_col="text", owner_col="source",
         F.md5(text.cast("binary")).alias("digest"),
         candidates(text).alias("found"),
     )
-    hashed = F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.md5(x["value"].cast("binary")).alias("hash")))
+    hashed = F.transform(
+        "found",
+        lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.md5(x["value"].cast("binary")).alias("hash")),
+    )
     rows = stored(rows.withColumn("found", hashed), "secrets")
     none = F.array().cast("array<struct<start: int, kind: int, end: int, hash: string, live: boolean, n_owners: bigint, n_repos: bigint>>")
     empty = rows.where(F.size("found") == 0).select("doc_id", none.alias("spans"))  # they meet nothing
@@ -93,7 +109,10 @@ def scan(docs: DataFrame, id_col="doc_id", text_col="text", owner_col="source",
     value = value.join(each.groupBy("hash").agg(F.count("*").alias("n")), "hash")
     value = stored(value.withColumn("live", (F.col("n_owners") <= owners) & (F.col("n_repos") <= repos)), "secret-values")
     each = hot_joined(each, value, ["hash"])
-    spans = each.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "hash", "live", "n_owners", "n_repos"))).alias("spans"), F.first("copies").alias("n"))
+    spans = each.groupBy("digest").agg(
+        F.array_sort(F.collect_list(F.struct("start", "kind", "end", "hash", "live", "n_owners", "n_repos"))).alias("spans"),
+        F.first("copies").alias("n"),
+    )
     base = F.filter("spans", lambda x: x["kind"] < 3)
     spans = spans.withColumn("base", base)
     apart = lambda x: ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
@@ -126,7 +145,8 @@ def _sql_kind(name: str, pattern: str, group: int, least: int, test: str = "true
 {name} AS (
   SELECT k, source, doc_id, start, '{name}' AS kind, start + length(whole) AS stop, v FROM (
     SELECT k, source, doc_id, unnest(m) AS whole, unnest(vs) AS v,
-           unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0)))::BIGINT AS start
+           unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1],
+               lambda x: length(x))), 0)))::BIGINT AS start
     FROM (SELECT k, source, doc_id, regexp_extract_all(text, $p${pattern}$p$) AS m, regexp_extract_all(text, $p${pattern}$p$, {group}) AS vs,
                  string_split_regex(text, $p${pattern}$p$) AS gaps FROM docs WHERE regexp_matches(text, $p${pattern}$p$)))
   WHERE length(v) >= {least} AND {test})"""
@@ -145,7 +165,8 @@ SQL = (
 everything AS (SELECT *, 0 AS nth FROM assign UNION ALL SELECT *, 1 FROM access UNION ALL SELECT *, 2 FROM hex UNION ALL SELECT *, 3 FROM live),
 owned AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) <= 2 AND count(DISTINCT (source, doc_id)) <= 8 AS live FROM everything GROUP BY v),
 spans AS (SELECT e.*, o.live FROM everything e JOIN owned o USING (v)
-          WHERE nth < 3 OR o.live AND NOT EXISTS (SELECT 1 FROM everything b WHERE b.nth < 3 AND b.k = e.k AND b.start < e.stop AND e.start < b.stop)),
+          WHERE nth < 3 OR o.live AND NOT EXISTS (SELECT 1 FROM everything b WHERE b.nth < 3 AND b.k = e.k AND b.start < e.stop
+              AND e.start < b.stop)),
 joined AS (
   SELECT k, count(*) FILTER (nth = 0) AS n_assign, count(*) FILTER (nth = 1) AS n_access, count(*) FILTER (nth = 2) AS n_hex,
          string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, nth) FILTER (nth < 3) AS base,

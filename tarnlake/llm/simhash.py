@@ -180,7 +180,13 @@ def near(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> Dat
         cells.append(F.xxhash64(point.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)), F.lit(k)))
     rows = prints.select("fp", F.explode(F.array(*cells)).alias("cell"))
     # cells of more than a block: fewer than a cell for every BLOCK rows
-    dense = stored(rows.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > block).select("cell", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "dense")
+    dense = stored(
+        rows.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > block).select(
+            "cell",
+            F.ceil(F.col("n") / block).cast("int").alias("blocks"),
+        ),
+        "dense",
+    )
     rows = rows.join(F.broadcast(dense) if small(dense) else dense, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64(F.lit(8), "fp"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -238,7 +244,9 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        star = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        star = large.join(least, "a").select(
+            F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
+        )
         after = stored(star.select("e.a", "e.b").where("a <> b").distinct(), "stars")
         state = after.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         dropped(edges)

@@ -112,9 +112,19 @@ def _occurrences(batches):
         ends[:-1] &= ~copied[1:] | (row[1:] != row[:-1])
         deal = mixed(k1[row[starts]].view(np.uint64) + first[starts].astype(np.uint64))
         both = np.concatenate((row[one], row[starts]))
-        columns = [np.concatenate((anchor[one], deal)).view(np.int64), np.concatenate((piece[one].view(np.int64), first[starts])), k1[both], k2[both], np.concatenate((first[one], first[starts])), np.concatenate((last[one], last[ends]))]
+        columns = [
+            np.concatenate((anchor[one], deal)).view(np.int64),
+            np.concatenate((piece[one].view(np.int64), first[starts])),
+            k1[both],
+            k2[both],
+            np.concatenate((first[one], first[starts])),
+            np.concatenate((last[one], last[ends])),
+        ]
         arrays = [pa.array(x, t) for x, t in zip(columns, [pa.int64()] * 4 + [pa.int32()] * 2)]
-        yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.arange(len(both)) >= len(one))], names=["anchor", "piece", "k1", "k2", "first", "last", "local"])
+        yield pa.RecordBatch.from_arrays(
+            [*arrays, pa.array(np.arange(len(both)) >= len(one))],
+            names=["anchor", "piece", "k1", "k2", "first", "last", "local"],
+        )
 
 
 def _shared(batches):
@@ -179,7 +189,10 @@ def _cut_out(batches):
                 rows.append((x["anchor"], k1, k2, x["first"], data[x["first"] : x["last"] + LENGTH]))
                 size += len(rows[-1][-1])
                 if size > SHARD:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["anchor", "k1", "k2", "first", "bytes"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
+                        names=["anchor", "k1", "k2", "first", "bytes"],
+                    )
                     rows, size = [], 0
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["anchor", "k1", "k2", "first", "bytes"])
@@ -255,12 +268,18 @@ def removed(docs: DataFrame, text_col="text", heavy: int = HEAVY) -> DataFrame:
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(*_keys(text), text.alias("text"))
-    found = keyed.where(F.octet_length("text") >= LENGTH).mapInArrow(_occurrences, "anchor long, piece long, k1 long, k2 long, first int, last int, local boolean")
+    found = keyed.where(F.octet_length("text") >= LENGTH).mapInArrow(
+        _occurrences,
+        "anchor long, piece long, k1 long, k2 long, first int, last int, local boolean",
+    )
     found = found.repartition("anchor").sortWithinPartitions("anchor", "piece")
     shared = stored(found.mapInArrow(_shared, "anchor long, k1 long, k2 long, first int, last int, wanted boolean"), "shared")
     # anchors of more than HEAVY bytes: fewer than one for every HEAVY bytes of the corpus
     size = F.col("last") - F.col("first") + LENGTH
-    bulky = stored(shared.where("wanted").groupBy("anchor").agg(F.sum(size.cast("long")).alias("size")).where(F.col("size") > heavy).select("anchor", F.lit(True).alias("heavy")), "heavy")
+    bulky = stored(
+        shared.where("wanted").groupBy("anchor").agg(F.sum(size.cast("long")).alias("size")).where(F.col("size") > heavy).select("anchor", F.lit(True).alias("heavy")),
+        "heavy",
+    )
     wanted = shared.where("wanted").join(F.broadcast(bulky) if small(bulky) else bulky, "anchor", "left")
     wanted = wanted.groupBy(*_KEY).agg(F.collect_list(F.struct("anchor", "first", "last", "heavy")).alias("every"))
     parts = [F.filter("every", lambda x: x["heavy"].isNull()).alias("wanted"), F.filter("every", lambda x: x["heavy"].isNotNull()).alias("heavy")]
@@ -273,7 +292,14 @@ def removed(docs: DataFrame, text_col="text", heavy: int = HEAVY) -> DataFrame:
         cut = wanted.where(F.size("heavy") > 0).select(*_KEY, "text", F.col("heavy").alias("wanted")).mapInArrow(_cut_out, _PIECE_DDL)
         windows = stored(cut.mapInArrow(_windows, "h long, g long, k1 long, k2 long, at int"), "windows")
         twice = windows.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1")
-        marks = marks.unionAll(hot_joined(windows, stored(twice, "repeated-windows"), ["h", "g"]).select("k1", "k2", F.col("at").alias("first"), F.col("at").alias("last")))
+        marks = marks.unionAll(
+            hot_joined(windows, stored(twice, "repeated-windows"), ["h", "g"]).select(
+                "k1",
+                "k2",
+                F.col("at").alias("first"),
+                F.col("at").alias("last"),
+            )
+        )
     spans = marks.distinct().groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("marks"))
     return texts.join(spans, _KEY, "left").select(*_KEY, "text", F.arrow_udf(_runs, "array<struct<first: int, end: int>>")("marks").alias("spans"))
 
@@ -344,7 +370,8 @@ again AS (SELECT w FROM starts GROUP BY w HAVING count(*) > 1),
 marked AS (SELECT k, a, a - lag(a) OVER (PARTITION BY k ORDER BY a) AS gap FROM starts JOIN again USING (w)),
 grouped AS (SELECT k, a, sum(CASE WHEN gap <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY a) AS span FROM marked),
 spans AS (SELECT k, span, min(a) AS first, max(a) + 200 AS stop FROM grouped GROUP BY k, span),
-gaps AS (SELECT k, unhex(string_agg(CASE WHEN kept_to > kept_from THEN hex(array_slice(x, kept_from + 1, kept_to)) ELSE '' END, '' ORDER BY kept_from)) AS kept
+gaps AS (SELECT k, unhex(string_agg(CASE WHEN kept_to > kept_from THEN hex(array_slice(x, kept_from + 1, kept_to)) ELSE '' END,
+    '' ORDER BY kept_from)) AS kept
          FROM (SELECT k, x, coalesce(lag(stop) OVER (PARTITION BY k ORDER BY first), 0) AS kept_from, first AS kept_to FROM spans JOIN sized USING (k)
                UNION ALL SELECT k, x, max(stop) AS kept_from, max(n) AS kept_to FROM spans JOIN sized USING (k) GROUP BY k, x) GROUP BY k),
 sums AS (SELECT k, sum(stop - first) AS n_removed, count(*) AS n_spans FROM spans GROUP BY k)

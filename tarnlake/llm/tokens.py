@@ -39,7 +39,18 @@ _GATHERED = 1 << 20
 #: Documents of a block whose frequencies are merged at once.
 _MERGED = 256
 
-_BLOCK = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("bytes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("n", pa.int64()), ("numbers", pa.binary()), ("times", pa.binary()), ("pieces", pa.list_(pa.string()))])
+_BLOCK = pa.schema(
+    [
+        ("block", pa.int64()),
+        ("doc_ids", pa.list_(pa.int64())),
+        ("bytes", pa.list_(pa.int64())),
+        ("sizes", pa.list_(pa.int32())),
+        ("n", pa.int64()),
+        ("numbers", pa.binary()),
+        ("times", pa.binary()),
+        ("pieces", pa.list_(pa.string())),
+    ]
+)
 _BLOCK_DDL = "block long, doc_ids array<long>, bytes array<long>, sizes array<int>, n long, numbers binary, times binary, pieces array<string>"
 _COUNTS = pa.schema([("block", pa.int64()), ("numbers", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
 
@@ -206,7 +217,10 @@ def _summed(batches):
                 n[counts.field("numbers")[part].values.to_numpy()] = counts.field("n")[part].values.to_numpy()
             upto = np.concatenate(([0], np.cumsum(n[numbers] * times)))
             ends = np.cumsum(each)
-            yield pa.RecordBatch.from_arrays([ids, sizes, pa.array(upto[ends] - upto[ends - each], pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays(
+                [ids, sizes, pa.array(upto[ends] - upto[ends - each], pa.int64())],
+                names=["doc_id", "n_bytes", "n_tokens"],
+            )
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col="doc_id", text_col="text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
