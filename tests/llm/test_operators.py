@@ -424,7 +424,7 @@ def _sql(query, **tables):
     c = duckdb.connect()
     for name, rows in tables.items():
         c.register(name, rows)
-    return c.execute(query).fetch_arrow_table().to_pylist()
+    return c.execute(query).to_arrow_table().to_pylist()
 
 
 @pytest.mark.parametrize("where", ["sf", "awkward"])
