@@ -3,7 +3,8 @@
 The tree is fitted on ``SAMPLE`` distinct vectors at most (those with the smallest hash); every vector is
 put into a leaf. A query walks the tree with a priority queue that always opens the node whose centre has
 the largest inner product with it. How many leaves it visits is widened until, over ``CALIBRATION`` queries
-held against all vectors, the recall reaches ``RECALL``. A leaf of many vectors is searched in parts.
+held against all vectors, the recall reaches ``RECALL``. Leaves in a row are a section, a leaf of many vectors is
+several; a task holds a block of queries against a section, both of ``GROUP`` bytes at most.
 
 Vectors alike in every component are one vector with its smallest ids, so a vector that a third of all rows
 hold is compared once. Scores are inner products in double precision of the vectors as given.
@@ -22,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, table
+from .common import BATCH_BYTES, small_batches, stored, table
 
 NEAREST, SAMPLE, CALIBRATION, RECALL, PARTS = 20, 20_000, 256, 0.95, 16
-#: Vectors of a leaf as the sample has it, leaves at most, children of a node, and vectors searched in one part.
-LEAF, LEAVES, FANOUT, PART = 1000, 4096, 8, 8192
+#: Vectors of a leaf as the sample has it, leaves at most, and children of a node.
+LEAF, LEAVES, FANOUT = 1000, 4096, 8
+#: Bytes of queries, and of vectors, that a task holds as doubles; sections at least, tasks at most, and products at once.
+GROUP, SECTIONS, TASKS, CHUNK = 16 << 20, 32, 10_000, 1 << 20
 
 
 class Tree:
@@ -147,47 +150,126 @@ def _exact(queries, own, k: int):
     return run
 
 
-def _asked(tree, most: int, parts):
-    """The leaves (and their parts) that each query visits."""
+def _sections(sizes: dict[int, int], most: int) -> dict[int, tuple[int, int]]:
+    """For each leaf its section and how many, from that one on, it is dealt over. A section has ``most`` vectors or about so many."""
+    out, section, held = {}, 0, 0
+    for leaf in sorted(sizes):
+        parts = -(-sizes[leaf] // most)
+        if held and held + sizes[leaf] > most:
+            section, held = section + 1, 0
+        out[leaf] = (section, parts)
+        section, held = (section + parts, 0) if parts > 1 else (section, held + sizes[leaf])
+    return out
+
+
+def _asked(tree, most: int, where, sample, k: int):
+    """Each query once for each section that it visits, with the leaves that it visits there; in bounded batches.
+
+    ``sample`` are some of the vectors and their leaves: k of these that a query visits bound what may be among its k best.
+    """
 
     def run(batches):
         for batch in batches:
-            rows, leaf, part = [], [], []
+            rows, section, seen, bounds = [], [], [], []
+            width = batch.nbytes // max(1, batch.num_rows) + 1
+
+            def out():
+                kept = batch.select(["block", "name", "vec"]).take(pa.array(rows, pa.int64()))
+                made = pa.array(section, pa.int32()), pa.array(seen, pa.list_(pa.int32())), pa.array(bounds, pa.float64())
+                return pa.RecordBatch.from_arrays([*kept.columns, *made], names=[*kept.schema.names, "section", "leaves", "bound"])
+
             for r, q in enumerate(_matrix(batch.column("vec"))):
-                for x in tree.value.visits(q, most):
-                    for p in range(parts.value.get(x, 0)):
-                        rows.append(r)
-                        leaf.append(x)
-                        part.append(p)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(leaf, pa.int32()),
-                    pa.array(part, pa.int32()),
-                    batch.column("name").take(pa.array(rows, pa.int64())),
-                    batch.column("vec").take(pa.array(rows, pa.int64())),
-                ],
-                names=["leaf", "part", "name", "vec"],
-            )
+                visited: dict[int, list[int]] = {}
+                walk = tree.value.visits(q, most)
+                x, leaf_of = sample.value
+                product = (x @ q)[np.isin(leaf_of, walk)]
+                slack = 1e-12 * np.sqrt((q**2).sum()) * np.sqrt((x**2).sum(1)).max(initial=0)
+                bound = np.partition(product, len(product) - k)[len(product) - k] - slack if len(product) >= k else -np.inf
+                for leaf in walk:
+                    first, parts = where.value.get(leaf, (0, 0))
+                    for s in range(first, first + parts):
+                        visited.setdefault(s, []).append(leaf)
+                for s, leaves in visited.items():
+                    rows.append(r)
+                    section.append(s)
+                    seen.append(leaves)
+                    bounds.append(float(bound))
+                    if len(rows) * width > BATCH_BYTES:
+                        yield out()
+                        rows, section, seen, bounds = [], [], [], []
+            if rows:
+                yield out()
 
     return run
 
 
+class _Found:
+    """Pairs of a query and a vector that may be among the query's k best; pruned to these whenever they are many."""
+
+    def __init__(self, q: np.ndarray, x: np.ndarray, least: np.ndarray, bound: np.ndarray, k: int):
+        self.q, self.x, self.least, self.k, self.n, self.pairs = q, x, least, k, 0, []
+        self.bound = np.where(np.isnan(bound), -np.inf, bound)  # k vectors are at least as near
+        self.slack = 1e-12 * np.sqrt((q**2).sum(1)) * np.sqrt((x**2).sum(1)).max(initial=0)  # of the product's rounding
+
+    def search(self, some: np.ndarray, a: int, b: int) -> None:
+        """Hold some queries against the vectors from a to b."""
+        product = self.q[some] @ self.x[a:b].T
+        among = ~(product < (self.bound[some] - self.slack[some])[:, None])
+        many = np.flatnonzero(among.sum(1) > self.k)
+        if len(many):
+            kth = np.partition(product[many], b - a - self.k, axis=1)[:, b - a - self.k]
+            self.bound[some[many]] = np.fmax(self.bound[some[many]], kth)
+            among[many] = ~(product[many] < (self.bound - self.slack)[some[many], None])
+        r, v = np.nonzero(among)
+        self.pairs.append((some[r], a + v, product[r, v]))
+        self.n += len(r)
+        if self.n > 2 * max(CHUNK, self.k * len(self.q)):
+            self.best()
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queries, places and scores, summed anew, ties to the smaller id."""
+        r, v, score = (np.concatenate(c) for c in zip(*self.pairs))
+        at = np.flatnonzero(~(score < (self.bound - self.slack)[r]))
+        r, v = r[at], v[at]
+        step = max(1, CHUNK // max(1, self.x.shape[1]))
+        score = np.concatenate([np.zeros(0), *((self.x[v[c : c + step]] * self.q[r[c : c + step]]).sum(1) for c in range(0, len(r), step))])
+        order = np.lexsort((self.least[v], -score, r))
+        r, v, score = r[order], v[order], score[order]
+        nth = np.arange(len(r)) - np.searchsorted(r, r)
+        last = nth == self.k - 1
+        self.bound[r[last]] = np.fmax(self.bound[r[last]], score[last])
+        keep = nth < self.k
+        self.pairs, self.n = [(r[keep], v[keep], score[keep])], int(keep.sum())
+        return self.pairs[0]
+
+
 def _searched(k: int):
-    schema = pa.schema([("name", pa.string()), ("score", pa.float64()), ("ids", pa.list_(pa.int64()))])
+    schema = pa.schema([("name", pa.binary()), ("score", pa.float64()), ("ids", pa.list_(pa.int64()))])
 
     def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        """A block of queries against a section: each leaf's vectors for the queries that visit it."""
         if not asked.num_rows or not held.num_rows:
             return schema.empty_table()
-        q, x, least = _matrix(asked.column("vec")), _matrix(held.column("vec")), held.column("least").to_numpy()
-        names, scores, places = [], [], []
-        who = asked.column("name").to_pylist()
-        for a in range(0, len(q), 512):
-            for n, (at, score) in enumerate(_best(q[a : a + 512], x, least, k)):
-                names += [who[a + n]] * len(at)
-                scores.append(score)
-                places.append(at)
-        ids = held.column("ids").combine_chunks().take(pa.array(np.concatenate(places)))
-        return pa.table([pa.array(names, pa.string()), pa.array(np.concatenate(scores)), ids], schema=schema)
+        leaf = held.column("leaf").to_numpy()
+        order = np.argsort(leaf, kind="stable")
+        leaf = leaf[order]
+        x = _matrix(held.column("vec"))[order]
+        found = _Found(_matrix(asked.column("vec")), x, held.column("least").to_numpy()[order], asked.column("bound").to_numpy(), k)
+        visited = asked.column("leaves").combine_chunks()
+        who, wanted = np.repeat(np.arange(len(visited)), visited.value_lengths().to_numpy()), visited.flatten().to_numpy()
+        by_leaf = np.argsort(wanted, kind="stable")
+        who, wanted = who[by_leaf], wanted[by_leaf]
+        for x in np.unique(leaf).tolist():
+            a, b = np.searchsorted(leaf, (x, x + 1)).tolist()
+            asking = who[slice(*np.searchsorted(wanted, (x, x + 1)))]
+            step = max(1, CHUNK // (b - a))
+            for c in range(0, len(asking), step):
+                found.search(asking[c : c + step], a, b)
+        if not found.pairs:
+            return schema.empty_table()
+        r, v, score = found.best()
+        names, ids = asked.column("name").combine_chunks(), held.column("ids").combine_chunks()
+        return pa.table([names.take(pa.array(r)), pa.array(score), ids.take(pa.array(order[v]))], schema=schema)
 
     return run
 
@@ -196,13 +278,15 @@ def nearest(vectors: DataFrame, id_col="vec_id", vec_col="embedding", every: int
     """``query_id, rank, vec_id, score``: for each row whose id is divisible by ``every`` its k nearest."""
     spark = vectors.sparkSession
     small_batches(spark)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    kind = dict(vectors.dtypes)[vec_col]
+    kind = kind if kind == "array<float>" else "array<double>"  # floats travel as such
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(kind).alias("vec"))
     fine = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vec", lambda v: v != 0)
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0)).where(fine)
     length = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
     rows = rows.where(F.size("vec") == (length.n if length else 0))
     # -0.0 and 0.0 are one value: adding 0.0 makes them so
-    rows = rows.withColumn("name", F.md5(F.concat_ws(",", F.transform("vec", lambda v: (v + F.lit(0.0)).cast("string"))).cast("binary")))
+    rows = rows.withColumn("name", F.unhex(F.md5(F.concat_ws(",", F.transform("vec", lambda v: (v.cast("double") + F.lit(0.0)).cast("string"))).cast("binary"))))
     first = F.row_number().over(Window.partitionBy("name").orderBy("vec_id"))  # limited before the shuffle already
     distinct = rows.withColumn("nth", first).where(F.col("nth") <= k + 1).groupBy("name").agg(
         F.first("vec").alias("vec"),
@@ -215,21 +299,36 @@ def nearest(vectors: DataFrame, id_col="vec_id", vec_col="embedding", every: int
     sample = np.array([r.vec for r in distinct.orderBy(F.xxhash64(F.lit(3), "name"), "name").select("vec").limit(SAMPLE).collect()], float)
     tree = Tree(sample.reshape(len(sample), -1) if len(sample) else np.zeros((0, 1)), min(LEAVES, max(1, total // LEAF)))
     shared = spark.sparkContext.broadcast(tree)
-    placed = stored(distinct.mapInArrow(_placed(shared), "name string, vec array<double>, ids array<long>, least long, leaf int"), "leaves")
+    placed = stored(distinct.mapInArrow(_placed(shared), f"name binary, vec {kind}, ids array<long>, least long, leaf int"), "leaves")
     asked = stored(queries.select("name").distinct().join(distinct, "name").select("name", "vec", "least"), "asked")
 
     visits = _calibrated(spark, tree, asked, placed, k, recall)
-    sizes = {r.leaf: -(-r["count"] // PART) for r in placed.groupBy("leaf").count().collect()}  # a row a leaf
-    parts = spark.sparkContext.broadcast(sizes)
-    n_parts = F.coalesce(
-        F.get(F.array(*(F.lit(sizes.get(x, 1)) for x in range(tree.n_leaves))), F.col("leaf")),
-        F.lit(1),
-    ) if max(sizes.values(), default=1) > 1 else F.lit(1)
-    held = placed.withColumn("part", F.pmod(F.xxhash64("name"), n_parts).cast("int"))
-    wide = asked.mapInArrow(_asked(shared, visits, parts), "leaf int, part int, name string, vec array<double>")
-    found = wide.groupBy("leaf", "part").cogroup(held.groupBy("leaf", "part")).applyInArrow(
+    # blocks of queries against sections of leaves: what a task holds doesn't grow with the input, nor is a query sent to each leaf
+    sizes = {r.leaf: r["count"] for r in placed.groupBy("leaf").count().collect()}  # a row a leaf
+    most = max(1, GROUP // (8 * (length.n if length else 1)))
+    sections = _sections(sizes, min(most, max(LEAF, total // SECTIONS)))
+    blocks = max(1, -(-asked.count() // most))
+    some = spark.sparkContext.broadcast((sample, tree.place(sample)) if len(sample) else (np.zeros((0, 1)), np.zeros(0, np.int32)))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int"))
+    wide = asked.mapInArrow(
+        _asked(shared, visits, spark.sparkContext.broadcast(sections), some, k + 1),
+        f"block int, name binary, vec {kind}, section int, leaves array<int>, bound double",
+    )
+    firsts = spark.createDataFrame([(x, *s) for x, s in sections.items()], "leaf int, first int, parts int")
+    held = placed.join(F.broadcast(firsts), "leaf").select(
+        (F.col("first") + F.pmod(F.xxhash64(F.lit(1), "name"), F.col("parts"))).cast("int").alias("section"),
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
+        "leaf",
+        "vec",
+        "ids",
+        "least",
+    )
+    # searching costs far more than its bytes tell: as many tasks as there are groups, up to a bound, and none are put together
+    n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(TASKS, blocks * sum(parts for _, parts in sections.values())))
+    wide, held = (df.repartition(n_tasks, "section", "block") for df in (wide, held))
+    found = wide.groupBy("section", "block").cogroup(held.groupBy("section", "block")).applyInArrow(
         _searched(k + 1),
-        "name string, score double, ids array<long>",
+        "name binary, score double, ids array<long>",
     )
     found = found.select("name", "score", F.explode("ids").alias("vec_id"))
     place = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "vec_id"))

@@ -217,6 +217,30 @@ def test_search_over_several_leaves(spark, monkeypatch):
     assert np.mean(right) >= 0.9
 
 
+def test_search_in_bounded_groups(spark, monkeypatch):
+    """Blocks of queries against sections of leaves, heavy leaves in parts: as brute force has it, and nothing is larger than its bound."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 8)).round(1)
+    x[:150] = x[0] + rng.normal(size=(150, 8)) / 1000  # a heavy leaf
+    docs = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for name, value in (("LEAF", 30), ("GROUP", 64 * 50), ("SECTIONS", 4), ("CHUNK", 200)):
+        monkeypatch.setattr(neighbours, name, value)
+    found: dict = {}
+    for r in neighbours.nearest(docs, every=2, recall=1.0).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    want = {q: sorted((-float((x[q] * v).sum()), k) for k, v in enumerate(x) if k != q)[:20] for q in range(0, 600, 2)}
+    assert sum(len(set(found[q]) & set(want[q])) for q in want) >= 0.99 * 20 * 300 and all(len(found[q]) == 20 for q in want)
+
+    where = neighbours._sections({0: 20, 1: 40, 3: 130, 4: 5}, 50)
+    assert where == {0: (0, 1), 1: (1, 1), 3: (2, 3), 4: (5, 1)}
+    shared = lambda v: type("Broadcast", (), {"value": v})
+    tree = type("Tree", (), {"visits": staticmethod(lambda q, most: list(range(2000)))})
+    batch = pa.RecordBatch.from_pydict({"name": ["n"] * 100, "vec": [[1.0] * 64] * 100, "block": [0] * 100})
+    some = shared((np.ones((0, 64)), np.zeros(0, int)))
+    sent = list(neighbours._asked(shared(tree), 2000, shared({k: (k, 1) for k in range(2000)}), some, 21)([batch]))
+    assert sum(b.num_rows for b in sent) == 200_000 and max(b.nbytes for b in sent) < 2 * neighbours.BATCH_BYTES
+
+
 def _repeats(t, n):
     seen = Counter(t[i : i + n].tobytes() for i in range(len(t) - n + 1))
     return [i + n <= len(t) and seen[t[i : i + n].tobytes()] > 1 for i in range(len(t))]
