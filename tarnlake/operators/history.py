@@ -73,6 +73,26 @@ def as_of(facts: DataFrame, history: DataFrame, key: str, date: str, name: str)
     return rows.withColumn(name, F.try_element_at(held, F.lit(-1))["sk"]).drop("_k", "_versions")
 
 
+def version_at(facts: DataFrame, history: DataFrame, key: str, date: str, name: str) -> DataFrame:
+    """As :func:`as_of`, but ``name`` is what the surrogate key is made of: two short fields instead of 64 characters."""
+    order = F.coalesce("record_version", F.lit(-(2**31))).alias("nth")
+    version = F.struct("effective_from", order, "effective_to", "record_version")
+    versions = history.where("effective_from is not null").groupBy(F.col(key).alias("_k")).agg(
+        F.array_sort(F.collect_list(version)).alias("_versions")
+    )
+    day = F.col(date)
+    held = F.filter("_versions", lambda v: (day >= v["effective_from"]) & (v["effective_to"].isNull() | (day <= v["effective_to"])))
+    last = F.try_element_at(held, F.lit(-1))
+    rows = facts.join(versions, F.col(key) == F.col("_k"), "left")
+    kept = F.when(last.isNotNull(), F.struct(last["effective_from"].alias("since"), last["record_version"].alias("version")))
+    return rows.withColumn(name, kept).drop("_k", "_versions")
+
+
+def key_at(key: str, name: str):
+    """The surrogate key of a version found by :func:`version_at`."""
+    return F.when(F.col(name).isNotNull(), key_of(F.col(key), F.col(f"{name}.since"), F.col(f"{name}.version")))
+
+
 def unmatched(facts: DataFrame, *names: str) -> DataFrame:
     """Rows without one of the surrogate keys."""
     test = F.lit(False)

@@ -188,8 +188,8 @@ def version_history(dims: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     return out
 
 
-def funnel(summary: DataFrame, changed: DataFrame, versions: DataFrame, sales: DataFrame, checks: DataFrame) -> DataFrame:
-    """One row: what came in, was held back, changed, was kept and built, and the checks passed."""
+def funnel(summary: DataFrame, changed: DataFrame, versions: DataFrame, sales: DataFrame, checks: DataFrame, kept=lambda part: part) -> DataFrame:
+    """One row: what came in, was held back, changed, was kept and built, and the checks passed. ``kept`` is done to each part."""
     parts = [
         summary.agg(F.sum("total").alias("raw_rows"), F.sum("invalid").alias("quarantined_rows"), F.sum("valid").alias("valid_rows")),
         changed.where("change_type <> 'UNCHANGED'").agg(F.coalesce(F.sum("records"), F.lit(0)).alias("changes")),
@@ -197,7 +197,7 @@ def funnel(summary: DataFrame, changed: DataFrame, versions: DataFrame, sales: D
         sales.agg(F.count("*").alias("sales_rows")),
         checks.agg(F.count_if(F.col("status") == "PASS").alias("checks_passed"), F.count("*").alias("checks_run")),
     ]
-    out = parts[0]
-    for one in parts[1:]:
+    out, *others = map(kept, parts)
+    for one in others:
         out = out.crossJoin(one)  # of single rows
     return out

@@ -7,8 +7,9 @@ from functools import partial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import key_of
 from ..operators import assertions, changes, cleaning, history, star, strict, validation
-from ..sources.scratch import stored
+from ..sources.scratch import freed, stored
 from . import marts
 from .retail import SECOND, relation
 
@@ -148,7 +149,9 @@ def _histories(spark, d):
 def build(spark, d, keep: bool = False):
     """The star over the rows whose keys are known: orders of unknown customers and their items stay out, as the gate asks.
 
-    With ``keep`` histories, enriched facts and the star are stored, each computed once: for queries that read several.
+    With ``keep`` histories, enriched orders and items and the payment facts are stored, each computed once, for queries
+    that read several. What is stored has no surrogate keys (of 64 characters, and hashes don't compress) but what they
+    are made of, and only the columns that marts and checks read.
     """
     kept = stored if keep else lambda df, tag: df
     people, goods = (kept(df, "history") for df in _histories(spark, d))
@@ -157,23 +160,53 @@ def build(spark, d, keep: bool = False):
     known = orders.select("order_id")
     items = cleaning.order_items(raw["order_items"].where("product_id <> 'P-1'").join(known, "order_id", "left_semi"))
     payments = cleaning.payments(raw["payments"].join(known, "order_id", "left_semi"))
-    eo = kept(star.enriched_orders(orders, people), "orders")
-    ei = star.enriched_items(items, eo, goods)
-    ep = star.enriched_payments(payments, eo)
+    days = star.dim_date(orders.select("order_day"), payments.select("payment_day"))
     if keep:
-        ei, ep = stored(ei, "order-items"), stored(ep, "payments")
+        # the join with orders leaves items of unknown ones out, so they need no shuffle of their own for that; raw keys are compared
+        lines = cleaning.order_items(raw["order_items"].where("product_id <> 'P-1' and order_id = trim(order_id)"))
+        eo, ei, ep, paid = _kept(orders, lines, payments, people, goods)
+        days = stored(days, "dim_date")
+    else:
+        eo = star.enriched_orders(orders, people)
+        ei = star.enriched_items(items, eo, goods)
+        ep = star.enriched_payments(payments, eo)
+        paid = star.fact_payment(ep, eo)
     t = {
         "dim_customer": star.dim_customer(people),
         "dim_product": star.dim_product(goods),
-        "dim_date": star.dim_date(orders.select("order_day"), payments.select("payment_day")),
+        "dim_date": days,
         "fact_sales": star.fact_sales(ei, eo),
-        "fact_payment": star.fact_payment(ep, eo),
+        "fact_payment": paid,
     }
-    if keep:
-        t = {n: stored(df, n) for n, df in t.items()}
     return t | {"orders": eo, "order_items": ei, "payments": ep}
 
 
+def _kept(orders, items, payments, people, goods):
+    """Enriched orders, items and payments, and the payment facts, over stored tables without surrogate keys."""
+    spark = orders.sparkSession
+    order_sk = key_of(F.lit("ORDER"), F.col("order_id"))
+    o = history.version_at(orders.select("order_id", "customer_id", "order_day", "order_status"), people, "customer_id", "order_day", "_customer")
+    o = stored(o, "orders")
+    eo = o.withColumns({"order_sk": order_sk, "customer_sk": history.key_at("customer_id", "_customer")}).drop("_customer")
+    own = items.select("order_item_id", "order_id", "product_id", "quantity", "unit_price", "discount_percentage")
+    i = own.join(o, "order_id")
+    i = stored(history.version_at(i, goods, "product_id", "order_day", "_product"), "order-items", "zstd")
+    freed(spark)
+    keys = {
+        "order_sk": order_sk,
+        "customer_sk": history.key_at("customer_id", "_customer"),
+        "product_sk": history.key_at("product_id", "_product"),
+    }
+    ei = i.withColumns(keys).drop("_customer", "_product")
+    ep = star.enriched_payments(payments, eo)
+    made = ["order_sk", "customer_sk", "payment_sk"]
+    p = star.fact_payment(ep, eo).withColumn("_known", F.col("order_sk").isNotNull()).drop(*made)
+    p = stored(p, "payments").withColumn("order_sk", F.when(F.col("_known"), order_sk))
+    paid = p.withColumn("payment_sk", key_of(F.col("payment_id"), F.col("order_sk"))).drop("_known")
+    freed(spark)
+    return eo, ei, ep, paid
+
+
 _SHOWN = {
     "dim_customer": [
         "customer_sk",
@@ -234,6 +267,13 @@ def _versions(t):
     return marts.version_history({"dim_customer": (t["dim_customer"], "customer_id"), "dim_product": (t["dim_product"], "product_id")})
 
 
+def _one(part):
+    """A row of figures, computed at once: what it was made from leaves the disk before the next."""
+    part = stored(part, "figures")
+    freed(part.sparkSession)
+    return part
+
+
 def mart(name, spark, d):
     t = build(spark, d, keep=name in ("executive", "funnel", "layers"))
     sales, pays = t["fact_sales"], t["fact_payment"]
@@ -274,7 +314,7 @@ def mart(name, spark, d):
     elif name == "versions":
         out = _versions(t)
     elif name == "funnel":
-        out = marts.funnel(rule_summary(spark, d), _changes(spark, d), _versions(t), sales, assertions.suite(t, t))
+        out = marts.funnel(rule_summary(spark, d), _changes(spark, d), _versions(t), sales, assertions.suite(t, t), _one)
     elif name == "repeat":
         out = marts.repeat_customers(sales)
     else:

@@ -114,3 +114,14 @@ def test_manifest(tmp_path):
     with pytest.raises(ValueError):
         files.advance(m, "a.csv", "FAILED")
     files.save_manifest(m, str(tmp_path / "m.json"))
+
+
+def test_no_surrogate_keys_are_stored(spark, monkeypatch):
+    kept, real = [], queries.stored
+    monkeypatch.setattr(queries, "stored", lambda df, *how: kept.append(df.columns) or real(df, *how))
+    star_ = queries.build(spark, "/root/testdata/sf0.001", keep=True)
+    assert kept and not [c for columns in kept for c in columns if c.endswith("_sk")]
+    plain_ = queries.build(spark, "/root/testdata/sf0.001")
+    for name in ("fact_sales", "fact_payment"):
+        keys = [c for c in ("sales_sk", "payment_sk", "order_sk", "product_sk") if c in star_[name].columns]
+        assert sorted(map(tuple, star_[name].select(keys).collect())) == sorted(map(tuple, plain_[name].select(keys).collect()))
