@@ -422,6 +422,19 @@ def test_classes_by_blocks(spark, monkeypatch):
     assert _classes(spark, texts) == {frozenset(range(40))}
 
 
+def test_frames_with_all_following_seeds():
+    """Two texts share the seeds 7 and 9 only; between them each shares others with third texts. Their common frame is there."""
+    def frames(k, pos, seed):
+        n = len(pos)
+        columns = {x: pa.array([k] * n, pa.int64()) for x in ("k1", "k2", "r1", "r2")}
+        batch = pa.RecordBatch.from_pydict(columns | {"pos": pa.array(pos, pa.int32()), "seed": pa.array(seed, pa.int64())})
+        return {f for b in passages._frames([batch]) for f in b.column("frame").to_pylist()}
+
+    one = frames(1, [0, 17, 21, 25, 40], [14, 102, 104, 106, 18])
+    two = frames(2, [0, 16, 20, 24, 40], [14, 202, 204, 206, 18])
+    assert one & two
+
+
 def test_recall_of_fuzzy_passages(spark):
     own, texts, want = _words(3), [], []
     for m, step in [(40, 8), (50, 10), (60, 12), (100, 8), (60, 8), (40, 12)] * 40:
